@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality
 
 
 def queries() -> dict:
-    found = [exact_dedup.op9_exact_dedup]
+    found = [quality.op5_quality_rules, exact_dedup.op9_exact_dedup]
     return {f.__name__: f for f in found}
 
 
