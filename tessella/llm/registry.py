@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality
+from . import chat, exact_dedup, quality, url_filter
 
 
 def queries() -> dict:
-    found = [quality.op5_quality_rules, exact_dedup.op9_exact_dedup]
+    found = [
+        url_filter.op4_url_filter,
+        quality.op5_quality_rules,
+        chat.op8_chat_format,
+        exact_dedup.op9_exact_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {
+        "op4_url_filter": url_filter.OP4_SQL,
+        "op8_chat_format": chat.OP8_SQL,
+        "op9_exact_dedup": exact_dedup.OP9_SQL,
+    }
