@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: The white space that separates words in every contract of this subpackage, for Java and Python patterns.
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,6 +33,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` by workers that can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table, and none of its others, so that those can't clash with computed ones."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -132,14 +132,14 @@ def tree_merge(digests: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
     rounds = -(-bits // fan_bits)
     steps = [bits // rounds + (i < bits % rounds) for i in range(rounds)]
     wire = "lane int, run binary"
-    runs = digests.select("doc_id", "digest", "check").mapInArrow(_leaves(steps[0], bits), wire)
+    runs = common.arrow_map(digests.select("doc_id", "digest", "check"), _leaves(steps[0], bits), wire)
     done = 0
     for i, step in enumerate(steps):
         done += step
         runs = runs.repartitionById(1 << bits, F.col("lane"))
         if i + 1 < rounds:
-            runs = runs.mapInArrow(_level(done, steps[i + 1], bits), wire)
-    return runs.mapInArrow(_roots, "digest binary, keep_id long, group_size long")
+            runs = common.arrow_map(runs, _level(done, steps[i + 1], bits), wire)
+    return common.arrow_map(runs, _roots, "digest binary, keep_id long, group_size long")
 
 
 def text_digests(docs: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def references(docs: DataFrame, common_words: int = COMMON) -> References:
     The driver receives ``common_words`` words and one class histogram for each language label.
     """
     rows = docs.filter("lang is not null and text is not null").select("lang", "text")
-    partial = rows.mapInArrow(_counted, "lang string, word binary, n long")
+    partial = common.arrow_map(rows, _counted, "lang string, word binary, n long")
     # Class counts travel as n * 16 + class, so that one pass over the texts serves both histograms.
     kind = F.when(F.col("word").isNull(), F.col("n") % 16).cast("int")
     n = F.when(F.col("word").isNull(), F.floor(F.col("n") / 16)).otherwise(F.col("n"))
@@ -263,7 +263,8 @@ def quality(docs: DataFrame, refs: References | None = None) -> DataFrame:
                     [part["doc_id"], *map(pa.array, map(list, columns))], names=["doc_id", *names]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judged, f"doc_id long, {SCHEMA}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return common.arrow_map(rows, judged, f"doc_id long, {SCHEMA}")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -274,7 +275,7 @@ def accepted(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([judge(x, found.value)[-1] for x in batch["text"].to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(filtered, docs.schema)
+    return common.arrow_map(docs, filtered, docs.schema)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
