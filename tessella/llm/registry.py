@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, minhash, quality, url_filter
+from . import chat, exact_dedup, minhash, packing, quality, url_filter
 
 
 def queries() -> dict:
     found = [
         minhash.op1_minhash_dedup,
+        packing.op2_packing,
         url_filter.op4_url_filter,
         quality.op5_quality_rules,
         chat.op8_chat_format,
