@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, minhash, packing, quality, url_filter
+from . import chat, exact_dedup, minhash, packing, quality, sentencepieces, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         quality.op5_quality_rules,
         chat.op8_chat_format,
         exact_dedup.op9_exact_dedup,
+        sentencepieces.op10_sentencepiece,
     ]
     return {f.__name__: f for f in found}
 
