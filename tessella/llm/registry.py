@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, minhash, packing, quality, sentencepieces, url_filter
+from . import chat, exact_dedup, minhash, packing, quality, sentencepieces, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         packing.op2_packing,
         url_filter.op4_url_filter,
         quality.op5_quality_rules,
+        toxicity.op6_toxicity,
         chat.op8_chat_format,
         exact_dedup.op9_exact_dedup,
         sentencepieces.op10_sentencepiece,
