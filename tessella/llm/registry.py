@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, minhash, packing, quality, sentencepieces, toxicity, url_filter
+from . import chat, exact_dedup, language, minhash, packing, quality, sentencepieces, toxicity, url_filter
 
 
 def queries() -> dict:
     found = [
         minhash.op1_minhash_dedup,
         packing.op2_packing,
+        language.op3_language_id,
         url_filter.op4_url_filter,
         quality.op5_quality_rules,
         toxicity.op6_toxicity,
