@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, minhash, packing, quality, sentencepieces, toxicity, url_filter
+from . import chat, exact_dedup, html_text, language, minhash, packing, quality, sentencepieces, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         url_filter.op4_url_filter,
         quality.op5_quality_rules,
         toxicity.op6_toxicity,
+        html_text.op7_html_text,
         chat.op8_chat_format,
         exact_dedup.op9_exact_dedup,
         sentencepieces.op10_sentencepiece,
