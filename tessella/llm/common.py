@@ -18,18 +18,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the whole cluster shares.
 
-    That folder is shared by the cluster, so the rows outlive lost executors and the lineage ends here. Only a
-    session without that setting, as in tests, gets a local folder.
+    Only a session without that setting, as in tests, gets a local folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri()
-        )
+        context.setCheckpointDir(configured or Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri())
+    return configured or context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once and kept in the shared folder, so that they outlive lost executors.
+
+    Their lineage ends here.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
