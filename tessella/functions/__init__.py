@@ -1 +1 @@
-
+"""The explicit batch view and its accessors."""

@@ -1 +1 @@
-
+"""Relational operators: sorting, partitioning, sampling, de-duplication and frame structure."""
