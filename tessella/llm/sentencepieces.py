@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .lookup import KeyTable
 
 #: Words whose ids a worker remembers, and the longest (in characters) that it does.
 REMEMBERED, LONGEST = 400_000, 64
@@ -71,7 +72,7 @@ class Pieces:
                 left, right = self._symbol(piece[:at], ids), self._symbol(piece[at:], ids)
                 if left is not None and right is not None:
                     pairs[left, right] = i
-        self._table(pairs, order)
+        self._pair_table(pairs, order)
         # Merging X may uncover a pair of lower rank than X's own: then only the leftmost X is merged in a round.
         self.unsafe = np.zeros(n, bool)
         for (left, right), i in pairs.items():
@@ -89,46 +90,15 @@ class Pieces:
             return int(self.of_char[ord(text)])
         return ids.get(text)
 
-    def _table(self, pairs: dict[tuple[int, int], int], order: dict[int, int]) -> None:
-        """An open-addressed hash table of the pairs, for lookups of whole arrays."""
-        span = self.size + CODE_POINTS
-        bits = max(4, (4 * len(pairs)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        slots = (1 << bits) + 64
-        self.keys = np.full(slots, -1, np.int64)
-        self.ranks = np.full(slots, NEVER, np.int32)
-        self.made = np.zeros(slots, np.int64)
-        self.probes = 1
-        for (left, right), i in pairs.items():
-            key = left * span + right
-            at = int(self._slot(np.array([key]))[0])
-            n = 1
-            while self.keys[at] != -1:
-                at, n = at + 1, n + 1
-            self.keys[at], self.ranks[at], self.made[at] = key, order[i], i
-            self.probes = max(self.probes, n)
-        if self.probes > 64:
-            raise ValueError("the pair table is too dense")
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+    def _pair_table(self, pairs: dict[tuple[int, int], int], order: dict[int, int]) -> None:
+        lefts, rights = np.array(list(pairs), np.int64).reshape(-1, 2).T
+        self.made = np.fromiter(pairs.values(), np.int64, len(pairs))
+        self.ranks = np.array([order[i] for i in pairs.values()], np.int32)
+        self.table = KeyTable(lefts * (self.size + CODE_POINTS) + rights)
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The table slot of each pair, -1 if it never merges."""
-        keys = left * (self.size + CODE_POINTS) + right
-        at = self._slot(keys)
-        out = np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
-        for _ in range(self.probes):
-            there = self.keys[at[todo]]
-            hit = there == keys[todo]
-            out[todo[hit]] = at[todo[hit]]
-            todo = todo[~hit & (there != -1)]
-            if not len(todo):
-                break
-            at[todo] += 1
-        return out
+        """The number of each pair's merge, -1 if it never merges."""
+        return self.table.find(left * (self.size + CODE_POINTS) + right)
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word (a run of space marks at most, then other characters)."""
@@ -136,13 +106,13 @@ class Pieces:
         points = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32)
         symbols = self.of_char[points]
         word = np.repeat(np.arange(len(words)), sizes)
-        slots = np.full(len(symbols), -1, np.int64)
+        merges = np.full(len(symbols), -1, np.int64)
         if len(symbols) > 1:
-            slots[:-1] = self._look_up(symbols[:-1], symbols[1:])
-            slots[:-1][word[1:] != word[:-1]] = -1
+            merges[:-1] = self._look_up(symbols[:-1], symbols[1:])
+            merges[:-1][word[1:] != word[:-1]] = -1
         done_words, done_symbols = [], []
         while len(symbols):
-            ranks = np.where(slots >= 0, self.ranks[slots], NEVER)
+            ranks = np.where(merges >= 0, self.ranks[merges], NEVER)
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             least = np.minimum.reduceat(ranks, starts)
             lengths = np.diff(np.append(starts, len(word)))
@@ -151,37 +121,37 @@ class Pieces:
                 stays = np.repeat(open_, lengths)
                 done_words.append(word[~stays])
                 done_symbols.append(symbols[~stays])
-                symbols, word, slots, ranks = symbols[stays], word[stays], slots[stays], ranks[stays]
+                symbols, word, merges, ranks = symbols[stays], word[stays], merges[stays], ranks[stays]
                 if not len(symbols):
                     break
                 least, lengths = least[open_], lengths[open_]
             at = np.flatnonzero(ranks == np.repeat(least, lengths))
-            at = self._leftmost(at, word, slots)
-            symbols, word, slots = self._merged(at, symbols, word, slots)
+            at = self._leftmost(at, word, merges)
+            symbols, word, merges = self._merged(at, symbols, word, merges)
         return self._collected(len(words), done_words, done_symbols)
 
-    def _leftmost(self, at: np.ndarray, word: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    def _leftmost(self, at: np.ndarray, word: np.ndarray, merges: np.ndarray) -> np.ndarray:
         """Of the places with their word's least rank, those that are merged in this round."""
         new_word = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
         # Of pairs that overlap (places that follow each other, as in "aaaa"), every second one counts.
         breaks = np.concatenate([[True], (at[1:] != at[:-1] + 1) | new_word[1:]])
         run_start = np.maximum.accumulate(np.where(breaks, np.arange(len(at)), 0))
         alternate = (np.arange(len(at)) - run_start) % 2 == 0
-        return at[new_word | (alternate & ~self.unsafe[self.made[slots[at]]])]
+        return at[new_word | (alternate & ~self.unsafe[self.made[merges[at]]])]
 
-    def _merged(self, at, symbols, word, slots):
-        symbols[at] = self.made[slots[at]]
+    def _merged(self, at, symbols, word, merges):
+        symbols[at] = self.made[merges[at]]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         moved = np.cumsum(keep) - 1
-        symbols, word, slots = symbols[keep], word[keep], slots[keep]
+        symbols, word, merges = symbols[keep], word[keep], merges[keep]
         here = moved[at]
         changed = np.unique(np.concatenate([here, here[here > 0] - 1]))
-        slots[changed] = -1
+        merges[changed] = -1
         inner = changed[changed + 1 < len(symbols)]
         inner = inner[word[inner] == word[inner + 1]]
-        slots[inner] = self._look_up(symbols[inner], symbols[inner + 1])
-        return symbols, word, slots
+        merges[inner] = self._look_up(symbols[inner], symbols[inner + 1])
+        return symbols, word, merges
 
     def _collected(self, n: int, words: list[np.ndarray], symbols: list[np.ndarray]) -> list[np.ndarray]:
         word = np.concatenate(words) if words else np.empty(0, np.int64)

@@ -1,0 +1,143 @@
+"""Exact and near duplicates, and the components behind the latter."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import helpers
+import numpy as np
+import pytest
+from oracle import assert_same
+
+from tessella.llm import exact_dedup, minhash, registry
+from tessella.llm.components import components
+
+
+def test_exact_against_sql(spark, sf_dir):
+    assert_same(exact_dedup.op9_exact_dedup(spark, sf_dir), registry.oracle_sql()["op9_exact_dedup"], sf_dir)
+
+
+@pytest.mark.parametrize("fan_bits", [1, 2, 3])
+def test_exact_awkward(spark, fan_bits, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FAN_BITS", fan_bits)
+    groups = {}
+    for i, text in helpers.AWKWARD:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), []).append(i)
+    found = exact_dedup.exact_duplicates(helpers.awkward(spark)).collect()
+    expected = []
+    for text, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        keep = min(known) if known else None
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        expected += [(i, keep, len(ids), i == keep, digest) for i in ids]
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+
+
+def test_exact_empty_and_filter(spark):
+    assert exact_dedup.exact_duplicates(helpers.empty(spark)).collect() == []
+    docs = helpers.awkward(spark)
+    left = exact_dedup.deduplicated(docs)
+    assert left.columns == docs.columns
+    assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [1, 3, 4, 6, 9, *range(10, 13), *range(14, 20)]
+
+
+def test_a_clash_of_digests_is_an_error():
+    runs = [np.array([(b"d" * 32, check, 1, 1)], exact_dedup.RECORD) for check in (5, 6)]
+    with pytest.raises(ValueError, match="share"):
+        exact_dedup.merged(runs)
+    assert exact_dedup.merged([runs[0], runs[0]])["rows"].tolist() == [2]
+
+
+def test_tree_merge_of_many_digests(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).repartition(7).select(
+        F.col("id").alias("doc_id"), F.unhex(F.sha2((F.col("id") % 1700).cast("string"), 256)).alias("digest"),
+        (F.col("id") % 1700).alias("check"),
+    )
+    for fan in (1, 3):
+        found = exact_dedup.tree_merge(rows, fan).collect()
+        assert sorted(r["keep_id"] for r in found) == list(range(1700)) and sum(r["group_size"] for r in found) == 5000
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    links += [(2000, 2001 + i) for i in range(50)] + [(7, 7)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    found = components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["node"]: r["component"] for r in found.collect()} == {x: root(x) for x in list(parent)}
+    assert found.count() == len(parent)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def copies(seed: int, families: int = 6, size: int = 14):
+    """Texts with copies at all distances: words replaced, in chains and around one original."""
+    rng = random.Random(seed)
+    rows, i = [], 0
+    for f in range(families):
+        base = [f"w{rng.randrange(400)}x{f}" for _ in range(rng.choice([8, 60, 120]))]
+        for _ in range(size):
+            base = base if rng.random() < 0.6 else rows[-1][1].split() if rows else base
+            text = [w if rng.random() > rng.choice([0, 0.01, 0.03, 0.08]) else f"n{rng.randrange(10**6)}" for w in base]
+            rows.append((i, " ".join(text) + rng.choice(["", " ", "\n"])))
+            i += 1
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_near_against_all_pairs(spark, words, percent):
+    rows = copies(words)
+    expected = helpers.near_components(rows, words, percent)
+    assert len({c for _, c in expected.values()}) not in (1, len(rows))
+    found = minhash.near_duplicates(helpers.documents(spark, rows, extra=True), words, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+
+
+def test_heavy_buckets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 6000)
+    rows = copies(11, families=2, size=45)
+    found = minhash.near_duplicates(helpers.documents(spark, rows), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == helpers.near_components(rows, 3, 85)
+
+
+def test_near_awkward(spark):
+    found = minhash.near_duplicates(helpers.awkward(spark), 3, 85).collect()
+    assert len(found) == len(helpers.AWKWARD)
+    by = {r["doc_id"]: r for r in found if r["doc_id"] is not None}
+    unique = [(i, t) for i, t in dict(helpers.AWKWARD).items() if i is not None]
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in by.items()} == helpers.near_components(unique, 3, 85)
+    assert all(r["component_id"] is None and r["kept"] for r in found if r["doc_id"] is None)
+    assert minhash.near_duplicates(helpers.empty(spark)).collect() == []
+
+
+def test_signature_estimates_the_similarity():
+    p = minhash.plan(3, 85)
+    a, b = minhash.hash_family(p.hashes)
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, 1000, np.uint64)
+    other = np.concatenate([base[:900], rng.integers(0, 2**64, 100, np.uint64)])
+    signs = [np.frombuffer(minhash.signature(np.unique(x), a, b), np.uint8) for x in (base, other)]
+    assert abs((signs[0] == signs[1]).mean() - 900 / 1100) < 0.12
+    assert (1 - 0.85**p.rows) ** p.bands <= minhash.MISS and p.least_equal < 0.85 * p.hashes
+
+
+def test_near_filter_keeps_columns(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "z y x w v u"), (None, "a b c d e f")]
+    docs = helpers.documents(spark, rows, extra=True)
+    left = minhash.deduplicated(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 3]
