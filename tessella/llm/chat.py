@@ -6,8 +6,8 @@ The grammar::
     turn         := "### " role ":\n" content "</turn>\n"
 
 Roles and contents may not hold the control strings ``###`` and ``</turn>``; the parser rejects a turn that does, and
-undoes the escapes ``\\``, ``\h`` (#), ``\l`` (<), ``\c`` (:) and ``\n`` (a line feed). Any other backslash stands for
-itself, so most texts are rendered as they are. Each turn is rendered plainly and parsed again; one that comes back
+undoes the escapes ``\\``, ``\h`` (#) and ``\l`` (<), in roles also ``\c`` (:) and ``\n`` (a line feed). Any other backslash
+stands for itself, so most texts are rendered as they are. Each turn is rendered plainly and parsed again; one that comes back
 differently is escaped. Then the whole conversation is parsed and compared; should it still differ, all its turns are
 escaped. Escaped content has no ``#`` and no ``<`` and always comes back.
 
@@ -37,11 +37,11 @@ def escaped(text: Column, escapes: dict[str, str] = CONTENT_ESCAPES) -> Column:
     return out
 
 
-def unescaped(text: Column) -> Column:
+def unescaped(text: Column, escapes: dict[str, str] = CONTENT_ESCAPES) -> Column:
     """Undoes ``escaped``: pairs of backslashes are found from the left, so what lies between them holds whole escapes."""
 
     def part(x: Column) -> Column:
-        for plain, letter in ROLE_ESCAPES.items():
+        for plain, letter in escapes.items():
             x = F.replace(x, F.lit("\\" + letter), F.lit(plain))
         return x
 
@@ -74,7 +74,7 @@ def parsed(formatted: Column) -> Column:
         wrong = at == 0
         for control in CONTROLS:
             wrong = wrong | F.contains(content, F.lit(control)) | F.contains(role, F.lit(control))
-        return F.when(~wrong, F.struct(unescaped(role).alias("role"), unescaped(content).alias("text")))
+        return F.when(~wrong, F.struct(unescaped(role, ROLE_ESCAPES).alias("role"), unescaped(content).alias("text")))
 
     return F.transform(_pieces(formatted), turn)
 
@@ -147,7 +147,7 @@ WITH c AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), r AS (
-  SELECT *, 14 + length(role) + length(text) + CASE WHEN regexp_matches(text, '###|</turn>|\\[\\hlcn]')
+  SELECT *, 14 + length(role) + length(text) + CASE WHEN regexp_matches(text, '###|</turn>|\\[\\hl]')
     THEN length(regexp_replace(text, '[^\\#<]', '', 'g')) ELSE 0 END AS chars FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
