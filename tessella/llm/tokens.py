@@ -66,11 +66,7 @@ class Encoder:
         cut = []
         for text in texts:
             first, *rest = CUT.split(text) if RUN.search(text) else text.split(" ")
-            if not first and rest:  # the text begins with a space
-                rest[0] = " " + rest[0]
-                cut.append(rest)
-            else:
-                cut.append([first, *(" " + x for x in rest)] if first else [])
+            cut.append([first] * bool(first) + [" " + x for x in rest])
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
