@@ -108,7 +108,7 @@ def _forward(lattice: list[np.ndarray], shares: np.ndarray, scaled: bool) -> tup
     sums = [np.ones((count, shares.shape[1]))]
     logs = np.zeros((count, shares.shape[1]))
     for end in range(1, n + 1):
-        total = np.zeros_like(sums[0])
+        total = np.zeros_like(logs)
         for size in range(1, min(len(lattice), end) + 1):
             total += sums[end - size] * shares[lattice[size - 1][:, end - size]]
         sums.append(total)
@@ -119,7 +119,7 @@ def _forward(lattice: list[np.ndarray], shares: np.ndarray, scaled: bool) -> tup
                 sums[i] = sums[i] / most
             logs += np.log(most)
             for i in range(max(0, end - 2 * len(lattice)), window.start):
-                sums[i] = sums[0][:0]  # no longer needed
+                sums[i] = None  # no longer needed
     return sums, logs
 
 
