@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
-import numpy as np
-
-#: Words (with the space before them) whose ids a worker remembers.
+#: Words whose ids a worker remembers.
 REMEMBERED = 500_000
 #: A space after white space: such a text isn't cut at every space.
 RUN = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S) ")
-#: A word that the tokenizer's pattern surely splits: letters, then full stops or commas.
-STOPPED = re.compile(r"( ?[A-Za-z]+)([.,]+)")
 
 
 def default_path() -> str:
@@ -22,6 +22,48 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _bytes_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for.
+
+    Printable bytes stand for themselves, the others are numbered from 256 on.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _ranked(path: str) -> Callable[[str], list[int]] | None:
+    """The encoder of the faster tiktoken library for the same vocabulary, if the file is one that it can express.
+
+    That is a plain byte-level BPE without a normalizer whose ids of two and more bytes are in the order of the merges,
+    so that the least rank of a pair is the least id it merges to.
+    """
+    file = json.loads(Path(path).read_text(encoding="utf-8"))
+    model, before = file["model"], file["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not file["normalizer"]
+    if not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return None
+    of = _bytes_of()
+    added = {x["content"] for x in file["added_tokens"]}
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    merged = [model["vocab"]["".join(pair)] for pair in pairs]
+    ranks = {bytes(of[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in added}
+    if merged != sorted(merged) or len(set(merged)) != len(merged) or len(merged) + 256 != len(ranks):
+        return None
+    import public_tokenizers
+    import tiktoken
+
+    return tiktoken.Encoding(Path(path).stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _library(path: str) -> Callable[[str], list[int]]:
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return lambda text: found.encode(text, add_special_tokens=False).ids
+
+
 class Encoder:
     """The ids that the library gives for a whole text, as little-endian unsigned 32-bit integers.
 
@@ -31,49 +73,27 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _direct(self, parts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, parts: set[str]) -> None:
-        """Adds the ids of ``parts``; those that end in stops or hold line feeds come from their pieces."""
-        split: dict[str, list[str]] = {}
-        plain: set[str] = set()
-        for part in parts:
-            lines = part.split("\n")
-            whole = all(lines) and not any(x[-1].isspace() or x[0].isspace() for x in lines[1:]) and not lines[0][-1].isspace()
-            pieces: list[str] = []
-            for i, line in enumerate(lines if whole else [part]):
-                if i:
-                    pieces.append("\n")
-                stopped = STOPPED.fullmatch(line)
-                pieces += stopped.groups() if stopped else [line]
-            if len(pieces) > 1:
-                split[part] = pieces
-            plain.update(x for x in pieces if x not in self.known)
-        unknown = list(plain)
-        self.known.update(zip(unknown, self._direct(unknown), strict=True))
-        for part, pieces in split.items():
-            self.known[part] = b"".join(map(self.known.__getitem__, pieces))
+        self._ids = _ranked(path) or _library(path)
+        self._spaced: dict[str, bytes] = {}
+
+    def _direct(self, text: str) -> bytes:
+        ids = array("I", self._ids(text))
+        return ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        if len(self._spaced) > REMEMBERED:
+            self._spaced.clear()
+        known = self._spaced
+        out = []
         for text in texts:
             first, *rest = CUT.split(text) if RUN.search(text) else text.split(" ")
-            cut.append([first] * bool(first) + [" " + x for x in rest])
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        unknown = {x for parts in cut for x in parts if x not in known}
-        if unknown:
-            self._learn(unknown)
-        return [b"".join([known[x] for x in parts]) for parts in cut]
+            parts = list(map(known.get, rest))
+            if None in parts:
+                for i, word in enumerate(rest):
+                    if parts[i] is None:
+                        parts[i] = known[word] = known.get(word) or self._direct(" " + word)
+            out.append(b"".join([self._direct(first), *parts]))
+        return out
 
 
 @lru_cache(maxsize=2)
