@@ -3,13 +3,15 @@ r"""URL filters: a blocked Bloom filter in front of an exact hash join, in DataF
 A rule (verdict, host, path) fits a URL on its host or any subdomain whose path starts with the rule's. Every rule has a
 canonical form, ``host`` + ``path``, and a shape, its number of host labels and its path's length. A URL's candidates are
 its own canonical prefixes of the shapes that the list has, so a row makes as many candidates as there are shapes, never
-one for each rule. The Bloom filter (256-bit blocks, one bit in each of four 64-bit words) drops nearly all candidates
-inside the row; the hits alone are exploded, once for each distinct (host, path), and joined exactly.
+one for each rule. The Bloom filter (256-bit blocks, one bit in each of four 64-bit words) drops nearly all candidates of
+the distinct (host, path) in the stage that makes them; the hits alone go on, to the exact join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,11 +86,10 @@ def bloom_blocks(rules: DataFrame, blocks: int) -> DataFrame:
 
 def _words(bloom: DataFrame, blocks: int) -> Column:
     """The whole filter as one array, by a scalar subquery: word ``i`` of block ``b`` is at b * WORDS + i."""
-    flat = bloom.select("block", F.posexplode(F.array(*[f"w{i}" for i in range(WORDS)])).alias("i", "w"))
-    pairs = flat.agg(F.map_from_entries(F.collect_list(F.struct(F.col("block") * WORDS + F.col("i"), "w"))).alias("m"))
-    every = F.sequence(F.lit(0), F.lit(blocks * WORDS - 1))
-    filled = F.transform(every, lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")), F.lit(0).cast("long")))
-    return pairs.select(filled.alias("words")).scalar()
+    every = bloom.sparkSession.range(blocks).withColumnRenamed("id", "block").join(bloom, "block", "left")
+    words = F.array(*[F.coalesce(f"w{i}", F.lit(0).cast("long")) for i in range(WORDS)]).alias("words")
+    in_order = F.sort_array(F.collect_list(F.struct("block", words)))
+    return every.agg(F.flatten(F.transform(in_order, lambda x: x["words"])).alias("words")).scalar()
 
 
 def _candidates(shapes: list[tuple[int, int]]) -> Column:
@@ -107,20 +108,16 @@ def _hits(urls: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
     """(host, path, rule): of distinct ``urls`` (host, path, candidates), the candidates that pass the filter."""
     blocks = 1 << max(0, (max(1, n_rules) * BITS_PER_RULE // (64 * WORDS)).bit_length())
     bloom = bloom_blocks(rules, blocks)
-    if blocks * WORDS <= MAX_HELD_WORDS:
-        held = urls.withColumn("words", _words(bloom, blocks))
-
-        def passes(key: Column) -> Column:
-            at = (_block(key, blocks) * WORDS).cast("int")
-            word = [F.get(F.col("words"), at + i).bitwiseAND(_bit(key, i)) != 0 for i in range(WORDS)]
-            return word[0] & word[1] & word[2] & word[3]
-
-        return held.select("host", "path", F.explode(F.filter("candidates", passes)).alias("rule"))
+    key = F.col("rule")
     each = urls.select("host", "path", F.explode("candidates").alias("rule"))
-    each = each.withColumn("block", _block(F.col("rule"), blocks)).join(bloom.hint("merge"), "block")
-    for i in range(WORDS):
-        each = each.filter(F.col(f"w{i}").bitwiseAND(_bit(F.col("rule"), i)) != 0)
-    return each.select("host", "path", "rule")
+    if blocks * WORDS <= MAX_HELD_WORDS:
+        own = F.slice(_words(bloom, blocks), (_block(key, blocks) * WORDS).cast("int") + 1, F.lit(WORDS))
+        each = each.withColumn("own", own)
+        passes = [F.get("own", i).bitwiseAND(_bit(key, i)) != 0 for i in range(WORDS)]
+    else:
+        each = each.withColumn("block", _block(key, blocks)).join(bloom.hint("merge"), "block")
+        passes = [F.col(f"w{i}").bitwiseAND(_bit(key, i)) != 0 for i in range(WORDS)]
+    return each.filter(reduce(and_, passes)).select("host", "path", "rule")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
