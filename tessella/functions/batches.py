@@ -12,6 +12,7 @@ from itertools import islice
 from typing import Any
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
@@ -54,6 +55,17 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(mapped, schema)
 
 
+def map_with_index(
+    df: DataFrame, function: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str
+) -> DataFrame:
+    """``function`` applied to each partition's number and its Arrow batches."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(TaskContext.get().partitionId(), batches)
+
+    return df.mapInArrow(mapped, schema)
+
+
 def column_arrays(df: DataFrame, by: str, column: str) -> DataFrame:
     """(by, values): the column's values of each group as one sorted array, nulls left out. A group is one value."""
     return df.groupBy(by).agg(F.array_sort(F.collect_list(column)).alias("values"))

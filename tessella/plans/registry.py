@@ -17,6 +17,7 @@ from ..functions import batches
 from ..operators import dedup, frames, partitioning, sampling, sorting
 from ..operators.sorting import Key
 from ..sources import writer
+from ..sources.formats import register_format
 from ..sources.reader import ColumnReader, tolerant
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +131,22 @@ def bucket_scan_eq(spark, sf_dir):
     return writer.write_bucketed(rows, name, _folder(spark), 8, "o_custkey").filter("o_custkey = 5")
 
 
+@query("SELECT CAST(i AS BIGINT) AS number, CAST(i * i AS BIGINT) AS square FROM range(1000) AS r(i)")
+def custom_format(spark, sf_dir):
+    import pyarrow as pa
+
+    def split(options):
+        step = int(options["step"])
+        return [(at, at + step) for at in range(0, int(options["rows"]), step)]
+
+    def read(part):
+        numbers = list(range(*part))
+        yield pa.RecordBatch.from_pydict({"number": numbers, "square": [x * x for x in numbers]})
+
+    register_format(spark, "tessella_squares", "number long, square long", split, read)
+    return ColumnReader(spark).format("tessella_squares").options(rows=1000, step=300).load().filter("number < 1000")
+
+
 @query("SELECT * FROM customer")
 def parquet_roundtrip(spark, sf_dir):
     to = _folder(spark)
@@ -515,6 +532,17 @@ def batch_sizes(spark, sf_dir):
     return batches.batch_sizes(view).agg(F.sum("batch_rows").alias("n"))
 
 
+@query("SELECT CAST(i AS INTEGER) AS part, CAST(2500 AS BIGINT) AS n FROM range(4) AS r(i)")
+def map_with_index(spark, sf_dir):
+    import pyarrow as pa
+
+    def counted(part, found):
+        n = sum(b.num_rows for b in found)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [n]})
+
+    return batches.map_with_index(spark.range(0, 10_000, 1, 4), counted, "part int, n long")
+
+
 @query("SELECT o_orderkey + 1 AS next_key FROM orders")
 def map_batches(spark, sf_dir):
     import pyarrow as pa
