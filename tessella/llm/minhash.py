@@ -284,3 +284,27 @@ OP1_WORDS, OP1_PERCENT = 3, 85
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents", "doc_id", "text"), OP1_WORDS, OP1_PERCENT)
+
+
+#: All pairs that share a shingle: exact, and quadratic in the documents that share one.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+    WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: concat_ws(' ', words[i], words[i + 1], words[i + 2]))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END)) AS shingle FROM w
+), n AS (
+  SELECT documents.doc_id, count(shingle) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY documents.doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id != b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * shared >= 85 * (nx.n + ny.n - shared)
+), r AS (
+  SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reached = e.x
+)
+SELECT n.doc_id, n.n AS n_shingles, min(reached) AS component_id, n.doc_id = min(reached) AS kept
+FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+"""

@@ -279,4 +279,76 @@ def accepted(docs: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality(common.table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    found = quality(common.table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, text IS NOT NULL AS has_text, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, lang, has_text, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)
+), n AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), v AS (
+  SELECT doc_id, i, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM w
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), x AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w1, w2, w3) AS times FROM v WHERE w3 IS NOT NULL
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM x, range(3) AS s(k) WHERE times > 1 GROUP BY doc_id
+), b AS (
+  SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) AS chars
+  FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+), g AS (
+  SELECT doc_id, lang, has_text, length(t) AS chars, regexp_replace(t, '[\x{10000}-\x{10FFFF}]', '', 'g') AS u FROM d
+), h AS (
+  SELECT doc_id, lang, has_text, chars, [length(regexp_replace(u, '[^a-z]', '', 'g')), length(regexp_replace(u, '[^A-Z]', '', 'g')),
+    length(regexp_replace(u, '[a-zA-Z]|[^\pL\pM]', '', 'g')), length(regexp_replace(u, '[^\p{Nd}]', '', 'g')),
+    length(regexp_replace(u, '[^\x09-\x0D\p{Zs}]', '', 'g')), length(regexp_replace(u, '[^.,;:!?''"()\-\p{Pi}\p{Pf}\p{Pd}]', '', 'g')),
+    length(regexp_replace(u, '[.,;:!?''"()\-\p{Pi}\p{Pf}\p{Pd}]|[^\pP\pS]', '', 'g'))] AS c FROM g
+), k AS (
+  SELECT doc_id, lang, has_text, bin, CASE WHEN bin <= 7 THEN c[bin] ELSE chars - list_sum(c) END AS count, greatest(chars, 1) AS chars
+  FROM h, range(1, 9) AS s(bin)
+), rk AS (
+  SELECT lang, bin, sum(count) / greatest(sum(sum(count)) OVER (PARTITION BY lang), 1) AS q FROM k
+  WHERE lang IS NOT NULL AND has_text GROUP BY lang, bin
+), jk AS (
+  SELECT doc_id, rk.lang, count / chars AS p, q, (p + q) / 2 AS m FROM k JOIN rk USING (bin)
+), ck AS (
+  SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2, 0)) AS by_class FROM jk GROUP BY doc_id, lang
+), f AS (
+  SELECT doc_id, lang, has_text, regexp_replace(lower(word), '^[.,;:!?''"()-]+|[.,;:!?''"()-]+$', '', 'g') AS word FROM w
+  WHERE strlen(word) <= 24
+), fl AS (
+  SELECT lang, word, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS total FROM f
+  WHERE lang IS NOT NULL AND has_text AND word != '' GROUP BY lang, word
+), top AS (
+  SELECT lang, word, n / total AS q FROM fl QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 100
+), fd AS (
+  SELECT doc_id, word, count(*) AS n FROM f GROUP BY doc_id, word
+), jw AS (
+  SELECT b.doc_id, top.lang, coalesce(fd.n, 0) / greatest(n_words, 1) AS p, q FROM b CROSS JOIN top
+  LEFT JOIN fd ON fd.doc_id = b.doc_id AND fd.word = top.word
+), jo AS (
+  SELECT * FROM jw UNION ALL SELECT doc_id, lang, 1 - sum(p), 1 - sum(q) FROM jw GROUP BY doc_id, lang
+), cw AS (
+  SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS by_word FROM jo GROUP BY doc_id, lang
+), z AS (
+  SELECT b.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, by_class, by_word,
+    row_number() OVER (PARTITION BY b.doc_id ORDER BY round(by_class + by_word, 12), lang) AS place
+  FROM b JOIN ck USING (doc_id) JOIN cw USING (doc_id, lang)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(by_class, 6) AS class_distance,
+  round(by_word, 6) AS word_distance,
+  NOT base_failed AND (chars < 200 OR by_class <= 0.28) AND (n_words < 50 OR by_word <= 0.5) AS kept
+FROM z WHERE place = 1
+"""

@@ -23,7 +23,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_dedup": minhash.OP1_SQL,
         "op4_url_filter": url_filter.OP4_SQL,
+        "op5_quality_rules": quality.OP5_SQL,
         "op8_chat_format": chat.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }

@@ -98,6 +98,10 @@ def copies(seed: int, families: int = 6, size: int = 14):
     return rows
 
 
+def test_near_against_sql(spark, sf_dir):
+    assert_same(minhash.op1_minhash_dedup(spark, sf_dir), registry.oracle_sql()["op1_minhash_dedup"], sf_dir)
+
+
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
 def test_near_against_all_pairs(spark, words, percent):
     rows = copies(words)

@@ -9,9 +9,10 @@ import zlib
 import helpers
 import numpy as np
 import pytest
+from oracle import assert_same
 from pyspark.sql import functions as F
 
-from tessella.llm import language, quality, toxicity
+from tessella.llm import language, quality, registry, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -131,6 +132,10 @@ def test_quality_base_counts(spark):
     assert quality.quality(helpers.empty(spark)).collect() == []
 
 
+def test_quality_against_sql(spark, sf_dir):
+    assert_same(quality.op5_quality_rules(spark, sf_dir), registry.oracle_sql()["op5_quality_rules"], sf_dir)
+
+
 def test_repeats_with_very_many_words():
     """Word numbers that three of don't fit into 63 bits."""
     words = [f"w{i}" for i in range(1_200_000)]
