@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +18,9 @@ def adjacent_unique(df: DataFrame, column: str, *keys: str | Key) -> DataFrame:
     rows = placed(global_sort(df, *keys))
     last = rows.groupBy("__part").agg(F.max_by(F.struct(column), "__row").alias("last"))
     parts = sorted(r["__part"] for r in last.select("__part").collect())
-    after = dict(zip(parts, parts[1:]))
-    edges = last.filter(F.col("__part") != (parts[-1] if parts else 0))
-    if after:
-        follow = F.element_at(F.create_map(*[F.lit(x) for pair in after.items() for x in pair]), F.col("__part"))
-        edges = edges.withColumn("__part", follow)
+    follow = np.full(max(parts, default=0) + 1, -1, np.int32)  # the next partition that has rows
+    follow[parts[:-1]] = parts[1:]
+    edges = last.withColumn("__part", F.get(F.lit(follow), F.col("__part"))).filter("__part >= 0")
     here = Window.partitionBy("__part").orderBy("__row")
     compared = rows.withColumn("__before", F.lag(F.struct(column)).over(here))
     compared = compared.join(F.broadcast(edges), "__part", "left")  # one row for each partition

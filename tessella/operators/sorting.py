@@ -6,6 +6,7 @@ import tempfile
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def with_ordinal(df: DataFrame, name: str = "pos") -> DataFrame:
     for part in range(max(counts, default=-1) + 1):
         offsets.append(total)
         total += counts.get(part, 0)
-    offset = F.element_at(F.lit(offsets or [0]), F.col("__part") + 1).cast("long")
+    offset = F.get(F.lit(np.array(offsets or [0], np.int64)), F.col("__part"))  # one literal, however many partitions
     return rows.withColumn(name, offset + F.col("__row") + 1).drop("__part", "__row")
 
 
