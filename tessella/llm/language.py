@@ -31,8 +31,8 @@ MAX_TRAINING = 8000
 ITERATIONS = 3
 #: Added to the expected uses of every piece, and the probability of a letter that the vocabulary lacks.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
-#: Words with more letters are scored with rescaling, and aren't learned from.
-LONG = 40
+#: Words with more letters are scored with rescaling, lest their products underflow, and aren't learned from.
+LONG = 20
 #: Words whose probabilities a worker remembers, and words counted in a task before they are handed on.
 REMEMBERED, HELD = 300_000, 200_000
 #: Texts scored at a time.

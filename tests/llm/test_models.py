@@ -85,6 +85,15 @@ def test_long_words_are_rescaled(model):
     assert math.isclose(model.word_logs([word])[0, 0], logs[-1], rel_tol=1e-9)
 
 
+def test_tiny_probabilities_do_not_underflow(model):
+    shares = np.where(model.shares > 0, 1e-9, 0)
+    tiny = language.Model(model.path, model.langs, shares)
+    for n in (5, 20, 21, 40, 41, 300):
+        logs = tiny.word_logs(["я" * n])
+        assert np.isfinite(logs).all()
+        assert tiny.predict(["я" * n]) == [("aa", 0.5)]
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     found = language.op3_language_id(spark, SF).join(docs, "doc_id").collect()
