@@ -53,7 +53,8 @@ def _ranked(path: str) -> Callable[[str], list[int]] | None:
     import public_tokenizers
     import tiktoken
 
-    return tiktoken.Encoding(Path(path).stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    pattern = public_tokenizers.PATTERN
+    return tiktoken.Encoding(Path(path).stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def _library(path: str) -> Callable[[str], list[int]]:

@@ -68,7 +68,9 @@ def sigmoid(x: float) -> float:
 class Ftrl:
     """FTRL-proximal for examples of which each has some places at 1; the bias is one more place without penalties."""
 
-    def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, positive: float = POSITIVE):
+    def __init__(
+        self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, positive: float = POSITIVE
+    ):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2, self.positive = alpha, beta, l1, l2, positive
 
