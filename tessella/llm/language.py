@@ -178,7 +178,8 @@ class Model:
         words = [words_of(x or "") for x in texts]
         out = []
         for own, logs in zip(words, self.log_probabilities(words), strict=True):
-            if not own or not self.langs:
+            # Runs may also be of numerals such as fractions, which aren't letters.
+            if not self.langs or not any(c.isalpha() for word in own for c in word):
                 out.append((UND, 0.0))
                 continue
             best = int(np.argmax(logs))

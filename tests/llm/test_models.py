@@ -85,6 +85,11 @@ def test_long_words_are_rescaled(model):
     assert math.isclose(model.word_logs([word])[0, 0], logs[-1], rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("text", [None, "", " \n", "12 3.4", "½ ² Ⅷ", "_ - !"])
+def test_texts_without_letters(model, text):
+    assert model.predict([text, "a"])[0] == ("und", 0.0) and model.predict(["½ a"])[0][0] != "und"
+
+
 def test_tiny_probabilities_do_not_underflow(model):
     shares = np.where(model.shares > 0, 1e-9, 0)
     tiny = language.Model(model.path, model.langs, shares)
