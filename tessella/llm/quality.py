@@ -29,8 +29,9 @@ COMMON = 100
 LONGEST = 24
 #: Least characters and words for the two distances to count.
 MIN_CHARS, MIN_WORDS = 200, 50
-#: Largest distances of a document that is kept.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.5
+#: Largest distances of a document that is kept. That of n words may be greater by WORD_NOISE / sqrt(n), as the distance of
+#: a sample from its own source falls with the root of its size.
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.28, 0.4, 1.2
 #: Words counted in a task before they are handed on.
 HELD = 200_000
 
@@ -229,8 +230,10 @@ def _nearest(text: str, words: Words, refs: References) -> tuple[float, float]:
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "class_distance double, word_distance double, kept boolean"
+    "kept boolean, class_distance double, word_distance double"
 )
+#: The place of ``kept`` among them.
+KEPT = 6
 
 
 def judge(text: str | None, refs: References) -> tuple:
@@ -240,9 +243,9 @@ def judge(text: str | None, refs: References) -> tuple:
     failed = n_words < 50 or 100 * repeat > 50 * n_words
     by_class, by_word = _nearest(text or "", words, refs) if refs.langs else (0.0, 0.0)
     near = (len(text or "") < MIN_CHARS or by_class <= MAX_CLASS_DISTANCE) and (
-        n_words < MIN_WORDS or by_word <= MAX_WORD_DISTANCE
+        n_words < MIN_WORDS or by_word <= MAX_WORD_DISTANCE + WORD_NOISE / n_words**0.5
     )
-    return *words.base, failed, by_class, by_word, not failed and near
+    return *words.base, failed, not failed and near, by_class, by_word
 
 
 def quality(docs: DataFrame, refs: References | None = None) -> DataFrame:
@@ -273,7 +276,8 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([judge(x, found.value)[-1] for x in batch["text"].to_pylist()], pa.bool_()))
+            kept = [judge(x, found.value)[KEPT] for x in batch["text"].to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return common.arrow_map(docs, filtered, docs.schema)
 
@@ -349,6 +353,6 @@ WITH d AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(by_class, 6) AS class_distance,
   round(by_word, 6) AS word_distance,
-  NOT base_failed AND (chars < 200 OR by_class <= 0.28) AND (n_words < 50 OR by_word <= 0.5) AS kept
+  NOT base_failed AND (chars < 200 OR by_class <= 0.28) AND (n_words < 50 OR by_word <= 0.4 + 1.2 / sqrt(n_words)) AS kept
 FROM z WHERE place = 1
 """
