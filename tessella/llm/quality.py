@@ -33,7 +33,7 @@ MIN_CHARS, MIN_WORDS = 200, 50
 #: a sample from its own source falls with the root of its size.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.28, 0.4, 1.2
 #: Words counted in a task before they are handed on.
-HELD = 200_000
+HELD = 400_000
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "other letter", "digit", "blank", "stop", "symbol", "other")
@@ -123,11 +123,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, counter in words.items():
+            folded: Counter = Counter()
+            for word, n in counter.items():
+                folded[_fold(word)] += n
+            folded.pop(b"", None)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "lang": pa.array([lang] * len(counter), pa.string()),
-                    "word": pa.array(list(counter), pa.binary()),
-                    "n": pa.array(list(counter.values()), pa.int64()),
+                    "lang": pa.array([lang] * len(folded), pa.string()),
+                    "word": pa.array(list(folded), pa.binary()),
+                    "n": pa.array(list(folded.values()), pa.int64()),
                 }
             )
         words.clear()
@@ -144,7 +148,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
     for lang, counts in classes.items():
         yield pa.RecordBatch.from_pydict(
-            {"lang": [lang] * len(counts), "word": pa.array([None] * len(counts), pa.binary()), "n": [int(n) * 16 + i for i, n in enumerate(counts)]}
+            {
+                "lang": [lang] * len(counts),
+                "word": pa.array([None] * len(counts), pa.binary()),
+                "n": [int(n) * 16 + i for i, n in enumerate(counts)],
+            }
         )
 
 
@@ -175,10 +183,10 @@ def references(docs: DataFrame, common_words: int = COMMON) -> References:
         .agg(F.sum("n").alias("n"))
     )
     classes = summed.filter("word is null").collect()
-    folded = _folded(summed.filter("word is not null"))
-    ranked = folded.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    words = summed.filter("word is not null")
+    ranked = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
     top = ranked.filter(F.col("rank") <= common_words).collect()
-    totals = {r["lang"]: r["n"] for r in folded.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({r["lang"] for r in classes})
     by_class = np.zeros((len(langs), len(CLASSES)))
     for r in classes:
@@ -194,16 +202,6 @@ def references(docs: DataFrame, common_words: int = COMMON) -> References:
     return References(langs, by_class / np.maximum(by_class.sum(1, keepdims=True), 1), index, columns, shares)
 
 
-def _folded(counts: DataFrame) -> DataFrame:
-    word = F.regexp_replace(F.lower(F.col("word").cast("string")), r"""^[.,;:!?'"()-]+|[.,;:!?'"()-]+$""", "")
-    return (
-        counts.select("lang", word.cast("binary").alias("word"), "n")
-        .filter("octet_length(word) > 0")
-        .groupBy("lang", "word")
-        .agg(F.sum("n").alias("n"))
-    )
-
-
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distances (base 2) along the last axis."""
     m = (p + q) / 2
