@@ -18,7 +18,7 @@ from ..operators import dedup, frames, partitioning, sampling, sorting
 from ..operators.sorting import Key
 from ..sources import writer
 from ..sources.formats import register_format
-from ..sources.reader import ColumnReader, tolerant
+from ..sources.reader import ColumnReader
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -44,7 +44,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tolerant(ColumnReader(spark)).load(f"{sf_dir}/{name}.parquet")
+    return ColumnReader(spark).load(f"{sf_dir}/{name}.parquet")
 
 
 def _folder(spark: SparkSession) -> str:

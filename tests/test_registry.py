@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from oracle import assert_same
 
@@ -17,6 +19,15 @@ def test_every_sql_has_a_query():
     assert registry.oracle_sql().keys() <= registry.queries().keys()
 
 
+def test_damaged_tables_fail(spark, sf_dir, tmp_path):
+    """Rows aren't left out quietly: the file's footer is whole, its first half is not."""
+    raw = Path(f"{sf_dir}/orders.parquet").read_bytes()
+    half = len(raw) // 2
+    (tmp_path / "orders.parquet").write_bytes(raw[:4] + bytes(half - 4) + raw[half:])
+    with pytest.raises(Exception, match="orders.parquet"):
+        registry.queries()["scan_full"](spark, str(tmp_path)).collect()
+
+
 def test_samples(spark, sf_dir):
     orders = {r[0] for r in registry.queries()["scan_full"](spark, sf_dir).select("o_orderkey").collect()}
     for name, n in (("bernoulli_sample", None), ("reservoir_sample", 100)):
