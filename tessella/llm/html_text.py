@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Elements nest no deeper in the tree; deeper ones become children of the last level. No text is lost.
-MAX_DEPTH = 100
 #: A column is padded to at most so many characters, so that one long cell doesn't multiply the output.
 MAX_PAD = 60
 #: Bounds of the HTML standard on spans of cells.
@@ -96,6 +95,8 @@ class Builder:
     def __init__(self, source: str):
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # of each tag, where in ``open`` it stands
+        self.blocks: list[int] = []  # where blocks stand
         self.unseen: set[str] = set()
         self._read(source)
 
@@ -135,36 +136,44 @@ class Builder:
                 if NO_DISPLAY.search(body):
                     self.unseen.update(x for x in map(str.strip, selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", x))
         self.open[-1].children.append(html.unescape(raw) if tag == "textarea" else raw)
-        self.open.pop()
+        self._cut(len(self.open) - 1)
 
     def _text(self, text: str) -> None:
         if self.open[-1].tag == "head" and text.strip(" \t\n\f\r"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self.open[-1].children.append(text)
 
     def _ends(self, tags: frozenset[str], beyond: frozenset[str]) -> None:
         """Closes the outermost open element of ``tags`` within ``beyond``, with all that is open in it."""
-        cut = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in beyond:
-                break
-            if self.open[i].tag in tags:
-                cut = i
-        if cut:
-            del self.open[cut:]
+        inmost = self._top(beyond)
+        cuts = [at[i] for tag in tags if (at := self.places.get(tag)) and (i := bisect_right(at, inmost)) < len(at)]
+        if cuts:
+            self._cut(min(cuts))
+
+    def _top(self, tags: frozenset[str]) -> int:
+        """Where the innermost open element of ``tags`` stands; 0 without any."""
+        return max((at[-1] for tag in tags if (at := self.places.get(tag))), default=0)
+
+    def _cut(self, at: int) -> None:
+        """Closes the open elements from ``at`` on."""
+        for node in self.open[at:]:
+            self.places[node.tag].pop()
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
+        del self.open[at:]
 
     def _start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in ("html", "body"):
             if self.open[-1].tag == "head":
-                self.open.pop()
-            if any(x.tag == tag for x in self.open):
+                self._cut(len(self.open) - 1)
+            if self.places.get(tag):
                 return
         if self.open[-1].tag == "head" and tag not in IN_HEAD:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in ENDS_P:
             self._ends(frozenset(["p"]), SCOPE)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in IMPLIED_ENDS:
             self._ends(*IMPLIED_ENDS[tag])
         if tag in _CELL and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
@@ -176,9 +185,10 @@ class Builder:
             self._push(node)
 
     def _push(self, node: Node) -> None:
-        if len(self.open) >= MAX_DEPTH and node.tag not in RAW:
-            self.open.pop()
         self.open[-1].children.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append(node)
 
     def _end(self, tag: str) -> None:
@@ -187,14 +197,29 @@ class Builder:
             return
         if tag in ("body", "html"):  # what follows still belongs to the body
             return
-        block = tag in BLOCKS
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i].tag
-            if name == tag or (tag in HEADINGS and name in HEADINGS):
-                del self.open[i:]
-                return
-            if name in SCOPE and tag not in _GROUP | _TABLE or (not block and name in BLOCKS):
-                return
+        at = self._top(HEADINGS if tag in HEADINGS else frozenset([tag]))
+        beyond = self._top(SCOPE) if tag not in _GROUP | _TABLE else 0
+        if tag not in BLOCKS and self.blocks:
+            beyond = max(beyond, self.blocks[-1])
+        if at and at >= beyond:
+            self._cut(at)
+
+
+#: A step of the renderer: it yields the steps that it waits for, and gets the result of each.
+Step = Generator["Step", object, object]
+
+
+def _run(step: Step) -> object:
+    """The result of a step, with the waiting ones on a list, so that no nesting is too deep."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as end:
+            waiting.pop()
+            result = end.value
+    return result
 
 
 class Lines:
@@ -277,15 +302,15 @@ class Renderer:
         names = [tag, *("." + x for x in attrs.get("class", "").split()), "#" + attrs.get("id", "")]
         return not self.unseen.isdisjoint(names)
 
-    def children(self, node: Node, out: Lines, shown: bool = True, pre: bool = False) -> None:
+    def children(self, node: Node, out: Lines, shown: bool = True, pre: bool = False) -> Step:
         for child in node.children:
             if isinstance(child, str):
                 if shown:
                     (out.raw if pre else out.text)(child)
             elif not self._gone(child):
-                self._element(child, out, shown, pre)
+                yield self._element(child, out, shown, pre)
 
-    def _element(self, node: Node, out: Lines, shown: bool, pre: bool) -> None:
+    def _element(self, node: Node, out: Lines, shown: bool, pre: bool) -> Step:
         tag = node.tag
         if "style" in node.attrs and (seen := VISIBILITY.findall(node.attrs["style"])):
             shown = seen[-1].lower() == "visible"
@@ -295,29 +320,29 @@ class Renderer:
             if shown and node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 out.text(f" {node.attrs.get('value', '')} ")
         elif tag == "table":
-            self._table(node, out, shown)
+            yield self._table(node, out, shown)
         elif tag in ("ul", "ol", "menu"):
-            self._list(node, out, shown)
+            yield self._list(node, out, shown)
         elif tag == "details" and "open" not in node.attrs:
             out.block(1)
             for child in node.children:
                 if isinstance(child, Node) and child.tag == "summary" and not self._gone(child):
-                    self._element(child, out, shown, pre)
+                    yield self._element(child, out, shown, pre)
             out.block(1)
         elif tag in BLOCKS:
             gap = 2 if tag in SPACED else 1
             out.block(gap)
-            self.children(node, out, shown, pre or tag == "pre")
+            yield self.children(node, out, shown, pre or tag == "pre")
             out.block(gap)
         else:
-            self.children(node, out, shown, pre or tag in ("textarea", "xmp"))
+            yield self.children(node, out, shown, pre or tag in ("textarea", "xmp"))
 
-    def _within(self, node: Node, shown: bool) -> list[str]:
+    def _within(self, node: Node, shown: bool) -> Step:
         lines = Lines()
-        self.children(node, lines, shown)
+        yield self.children(node, lines, shown)
         return lines.done()
 
-    def _list(self, node: Node, out: Lines, shown: bool) -> None:
+    def _list(self, node: Node, out: Lines, shown: bool) -> Step:
         out.block(2)
         number = _number(node.attrs.get("start"), 1)
         for child in node.children:
@@ -326,21 +351,21 @@ class Renderer:
                     out.text(child)
             elif child.tag != "li":
                 if not self._gone(child):
-                    self._element(child, out, shown, False)
+                    yield self._element(child, out, shown, False)
             elif not self._gone(child):
                 number = _number(child.attrs.get("value"), number)
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
                 out.block(1)
-                lines = self._within(child, shown)
+                lines = yield self._within(child, shown)
                 out.add([(" " * len(mark) if i else mark) + x if x else x for i, x in enumerate(lines)])
                 out.block(1)
         out.block(2)
 
-    def _table(self, node: Node, out: Lines, shown: bool) -> None:
+    def _table(self, node: Node, out: Lines, shown: bool) -> Step:
         out.block(2)
         rows: list[Node] = []
-        self._rows(node, out, shown, rows)
+        yield self._rows(node, out, shown, rows)
         out.block(1)
         grid: list[list[tuple[int, int, list[str]]]] = []  # of each row: (column, columns, lines)
         taken: dict[int, int] = {}  # rows that a column is still taken by a cell above
@@ -351,7 +376,7 @@ class Renderer:
                     column += 1
                 wide = min(MAX_COLSPAN, max(1, _number(cell.attrs.get("colspan"), 1)))
                 high = min(MAX_ROWSPAN, max(1, _number(cell.attrs.get("rowspan"), 1)))
-                cells.append((column, wide, self._within(cell, shown)))
+                cells.append((column, wide, (yield self._within(cell, shown))))
                 for i in range(column, column + wide):
                     taken[i] = high
                 column += wide
@@ -380,7 +405,7 @@ class Renderer:
             out.block(1)
         out.block(2)
 
-    def _rows(self, node: Node, out: Lines, shown: bool, rows: list[Node]) -> None:
+    def _rows(self, node: Node, out: Lines, shown: bool, rows: list[Node]) -> Step:
         """Gathers the rows of a table; all else in it (captions, stray text) is rendered before them."""
         for child in node.children:
             if isinstance(child, str):
@@ -389,17 +414,17 @@ class Renderer:
             elif self._gone(child):
                 continue
             elif child.tag in ("thead", "tbody", "tfoot"):
-                self._rows(child, out, shown, rows)
+                yield self._rows(child, out, shown, rows)
             elif child.tag == "tr":
                 for x in child.children:
                     if isinstance(x, str):
                         if shown:
                             out.text(x)
                     elif x.tag not in _CELL and not self._gone(x):
-                        self._element(x, out, shown, False)
+                        yield self._element(x, out, shown, False)
                 rows.append(child)
             else:
-                self._element(child, out, shown, False)
+                yield self._element(child, out, shown, False)
 
 
 def _number(raw: str | None, default: int) -> int:
@@ -411,7 +436,7 @@ def visible_text(source: str | None) -> str:
     """The rendered text of a page; empty for null."""
     tree = Builder(source or "")
     out = Lines()
-    Renderer(tree).children(tree.root, out)
+    _run(Renderer(tree).children(tree.root, out))
     return "\n".join(out.done()).replace("\xa0", " ")
 
 

@@ -146,6 +146,26 @@ def test_deep_pages(source):
     assert visible_text(source).endswith("x")
 
 
+@pytest.mark.parametrize("around", ["<div>", "<font>", "<ul><li>", "<table><tr><td>"])
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<div hidden>no<b>no</b>no</div>yes", "yes"),
+        ("<template>no<p>no</p>no</template>yes", "yes"),
+        ("<div hidden>" + "<b>" * 150 + "no" + "</b>" * 150 + "no<p>no</div>yes", "yes"),
+        ("<details><summary>s</summary><div>no</div>no</details>", "s"),
+        ("<table><tr><th>Name<th>N<tr><td>long one<td>1</table>", "Name      N\nlong one  1"),
+        ("<ol><li>a<li>b<ul><li>c</ul></ol>", "1. a\n2. b\n\n   - c"),
+        ("<pre> a\n  b</pre>", " a\n  b"),
+    ],
+)
+def test_deep_pages_keep_their_tree(around, source, text):
+    marks = "- " * 150 if "<li>" in around else ""
+    lines = visible_text(around * 150 + source).split("\n")
+    assert lines[0][: len(marks)] == marks
+    assert "\n".join(x[len(marks) :] for x in lines) == text
+
+
 def test_long_cells_do_not_multiply():
     page = "<table><tr><td>" + "a" * 100_000 + "<td>b" + "<tr><td>c<td>d" * 500 + "</table>"
     assert len(visible_text(page)) < 200_000
