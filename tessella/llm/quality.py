@@ -10,11 +10,12 @@ distance in question isn't held against a document.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from . import common
 
 #: Words a language's reference histogram has, besides one bin for all others.
 COMMON = 100
-#: Longer words (in bytes) aren't candidates for the common words.
+#: Longer words (in bytes) are counted by a digest, and in ``op5_quality_rules``, as in its SQL, not at all.
 LONGEST = 24
 #: Least characters and words for the two distances to count.
 MIN_CHARS, MIN_WORDS = 200, 50
@@ -74,6 +75,16 @@ def _fold(word: bytes) -> bytes:
     return word.decode(errors="replace").lower().strip(".,;:!?'\"()-").encode()
 
 
+def _key(word: bytes, whole: bool) -> bytes | None:
+    """What a word is counted as before the fold; None if it isn't. A digest begins with a blank, as no word does."""
+    if len(word) <= LONGEST:
+        return word
+    if not whole:
+        return None
+    folded = _fold(word)
+    return folded if len(folded) <= LONGEST else b" " + hashlib.blake2b(folded, digest_size=12).hexdigest().encode()
+
+
 @dataclass
 class Words:
     """What one split of a text gives all rules."""
@@ -117,7 +128,7 @@ def _repeated(ids: np.ndarray, distinct: int) -> int:
     return int(covered.sum())
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
     classes: dict[str, np.ndarray] = {}
 
@@ -126,7 +137,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             folded: Counter = Counter()
             for word, n in counter.items():
                 folded[_fold(word)] += n
-            folded.pop(b"", None)
+            if not whole:
+                folded.pop(b"", None)
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": pa.array([lang] * len(folded), pa.string()),
@@ -140,8 +152,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             counter = words.setdefault(lang, Counter())
             for word, n in Counter(text.encode(errors="replace").split()).items():
-                if len(word) <= LONGEST:
-                    counter[word] += n
+                if (key := _key(word, whole)) is not None:
+                    counter[key] += n
             classes[lang] = classes.get(lang, 0) + class_counts(text)
             if sum(map(len, words.values())) > HELD:
                 yield from flush()
@@ -165,26 +177,29 @@ class References:
     index: dict[bytes, int]
     columns: np.ndarray
     words: np.ndarray
+    whole: bool
 
 
-def references(docs: DataFrame, common_words: int = COMMON) -> References:
+def references(docs: DataFrame, common_words: int = COMMON, whole: bool = False) -> References:
     """Learned from all rows of ``docs`` (lang, text) in which neither is null.
 
+    With ``whole``, the shares are those of all words; else, as in ``OP5_SQL``, of those of at most ``LONGEST`` bytes
+    that aren't only stops.
     The driver receives ``common_words`` words and one class histogram for each language label.
     """
     rows = docs.filter("lang is not null and text is not null").select("lang", "text")
-    partial = common.arrow_map(rows, _counted, "lang string, word binary, n long")
+    counts = common.arrow_map(rows, partial(_counted, whole=whole), "lang string, word binary, n long")
     # Class counts travel as n * 16 + class, so that one pass over the texts serves both histograms.
     kind = F.when(F.col("word").isNull(), F.col("n") % 16).cast("int")
     n = F.when(F.col("word").isNull(), F.floor(F.col("n") / 16)).otherwise(F.col("n"))
     summed = common.durable(
-        partial.select("lang", "word", kind.alias("class"), n.cast("long").alias("n"))
+        counts.select("lang", "word", kind.alias("class"), n.cast("long").alias("n"))
         .groupBy("lang", "word", "class")
         .agg(F.sum("n").alias("n"))
     )
     classes = summed.filter("word is null").collect()
     words = summed.filter("word is not null")
-    ranked = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    ranked = words.filter("length(word) > 0").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
     top = ranked.filter(F.col("rank") <= common_words).collect()
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({r["lang"] for r in classes})
@@ -199,7 +214,7 @@ def references(docs: DataFrame, common_words: int = COMMON) -> References:
         columns[at, r["rank"] - 1] = index[bytes(r["word"])]
         shares[at, r["rank"] - 1] = r["n"] / totals[r["lang"]]
     shares[:, -1] = 1 - shares.sum(1)
-    return References(langs, by_class / np.maximum(by_class.sum(1, keepdims=True), 1), index, columns, shares)
+    return References(langs, by_class / np.maximum(by_class.sum(1, keepdims=True), 1), index, columns, shares, whole)
 
 
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -216,7 +231,7 @@ def _nearest(text: str, words: Words, refs: References) -> tuple[float, float]:
     by_class = distances(shares[None, :], refs.classes)
     seen = np.zeros(len(refs.index) + 1)
     for word, n in zip(words.distinct, words.counts.tolist(), strict=True):
-        if len(word) <= LONGEST and (at := refs.index.get(_fold(word))) is not None:
+        if (key := _key(word, refs.whole)) is not None and (at := refs.index.get(_fold(key))) is not None:
             seen[at] += n
     total = max(1, words.base[0])
     own = seen[refs.columns] / total
@@ -269,8 +284,8 @@ def quality(docs: DataFrame, refs: References | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns, judged against references learned from ``docs``."""
-    found = docs.sparkSession.sparkContext.broadcast(references(docs))
+    """The rows of ``docs`` that are kept, with all their columns, judged against references learned from all words of ``docs``."""
+    found = docs.sparkSession.sparkContext.broadcast(references(docs, whole=True))
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -181,6 +181,20 @@ def test_references_are_the_whole_corpus(spark):
     assert words[b"the"] == 3 / 7 and math.isclose(refs.words[0].sum(), 1)
 
 
+def test_long_words_count_in_the_pipeline(spark):
+    """Clean documents of one source, most of whose words have more than 24 bytes."""
+    rng = np.random.default_rng(7)
+    letters = [chr(c) for c in range(0x0E01, 0x0E2F)]
+    vocabulary = ["".join(rng.choice(letters, 4 if i < 60 else 12)) for i in range(300)]
+    weights = np.concatenate([np.full(60, 0.1 / 60), np.full(240, 0.9 / 240)])
+    docs = helpers.documents(spark, [(i, " ".join(rng.choice(vocabulary, 400, p=weights))) for i in range(40)])
+    assert quality.accepted(docs).count() == 40
+    few = helpers.documents(spark, [(1, "ab ab cd " + 2 * ("X" * 30 + ". ") + "--")])
+    refs = quality.references(few, 2, whole=True)
+    assert np.allclose(refs.words[0], 1 / 3)
+    assert quality.judge("ab ab cd " + 2 * ("x" * 30 + " ") + "--", refs)[-1] < 1e-6
+
+
 def test_ftrl_against_a_plain_version():
     rng = np.random.default_rng(2)
     fast, z, n = toxicity.Ftrl(bits=4), {}, {}
