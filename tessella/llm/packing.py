@@ -181,9 +181,11 @@ def _power(n: int) -> int:
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, open_windows: int = OPEN) -> DataFrame:
     """The pieces (columns of ``PIECE``) of the sequences that hold all rows of ``docs`` (doc_id, text).
 
-    Defined results: a null or empty text has the end id alone; repeated rows are packed as documents of their own; a
-    null doc_id is passed on; an empty table gives an empty result; other columns are ignored. Every id of a document is
-    in exactly one piece, pieces of a sequence follow each other without gaps from offset 0.
+    Defined results: a null or empty text has the end id alone; a very long text fills as many whole sequences as it
+    needs, its rest is packed like a short text; strings of the file's added tokens get these tokens' ids, as the library
+    gives them; repeated rows are packed as documents of their own; of equally full windows the newest is taken; a null
+    doc_id is passed on; an empty table gives an empty result; other columns are ignored. Every id of a document is in
+    exactly one piece, pieces of a sequence follow each other without gaps from offset 0.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = _first_pass(path or tokens.default_path(), size, open_windows)

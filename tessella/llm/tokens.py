@@ -9,8 +9,8 @@ from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, and the longest (in characters) that it does.
+REMEMBERED, LONGEST = 500_000, 64
 #: A space after white space: such a text isn't cut at every space.
 RUN = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S) ")
@@ -61,20 +61,27 @@ def _library(path: str) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
     return lambda text: found.encode(text, add_special_tokens=False).ids
 
 
+def _added(path: str) -> re.Pattern | None:
+    """Finds the file's added tokens, which the library looks for before all else; None if there are none."""
+    contents = [x["content"] for x in json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]]
+    return re.compile("|".join(map(re.escape, contents))) if contents else None
+
+
 class Encoder:
-    """The ids that the library gives for a whole text, as little-endian unsigned 32-bit integers.
+    """The ids that ``encode(text, add_special_tokens=False)`` of the library gives, as little-endian unsigned 32-bit integers.
 
     The file's pattern never joins white space to what stands before it, so a text may be cut before any space that
-    follows another character than white space, and the ids of the parts are those of the whole. Strings of special
-    tokens in a text are ordinary text.
+    follows another character than white space, and the ids of the parts are those of the whole. A text that holds the
+    string of an added token goes to the library whole, as the library takes such a string out before it looks for words.
     """
 
     def __init__(self, path: str):
         self._ids = _ranked(path) or _library(path)
+        self._whole = _library(path)
+        self._added = _added(path)
         self._spaced: dict[str, bytes] = {}
 
     def _direct(self, text: str) -> bytes:
@@ -87,12 +94,17 @@ class Encoder:
         known = self._spaced
         out = []
         for text in texts:
+            if self._added and self._added.search(text):
+                out.append(array("I", self._whole(text)).tobytes())
+                continue
             first, *rest = CUT.split(text) if RUN.search(text) else text.split(" ")
             parts = list(map(known.get, rest))
             if None in parts:
                 for i, word in enumerate(rest):
                     if parts[i] is None:
-                        parts[i] = known[word] = known.get(word) or self._direct(" " + word)
+                        parts[i] = known.get(word) or self._direct(" " + word)
+                        if len(word) <= LONGEST:
+                            known[word] = parts[i]
             out.append(b"".join([self._direct(first), *parts]))
         return out
 
