@@ -1,6 +1,6 @@
 """Quality rules: how far a document's histograms diverge from those of its nearest language.
 
-Two passes over the texts. The first counts character classes and words of every document that has a language, in
+Two passes over the texts. The first counts character classes and all words of every document that has a language, in
 Python with bounded dictionaries per task, and sums them in Spark; of each language the ``COMMON`` most frequent words
 stay. The second compares each document's character-class and common-word histograms with every language's by the
 Jensen-Shannon distance (base 2, the square root of the divergence) and takes the nearest language, so that a wrong or
@@ -15,7 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from . import common
 
 #: Words a language's reference histogram has, besides one bin for all others.
 COMMON = 100
-#: Longer words (in bytes) are counted by a digest, and in ``op5_quality_rules``, as in its SQL, not at all.
-LONGEST = 24
+#: Longer words (in bytes) are counted under their MD5, so that what a task holds is bounded.
+LONGEST = 32
 #: Least characters and words for the two distances to count.
 MIN_CHARS, MIN_WORDS = 200, 50
 #: Largest distances of a document that is kept. That of n words may be greater by WORD_NOISE / sqrt(n), as the distance of
@@ -75,14 +75,12 @@ def _fold(word: bytes) -> bytes:
     return word.decode(errors="replace").lower().strip(".,;:!?'\"()-").encode()
 
 
-def _key(word: bytes, whole: bool) -> bytes | None:
-    """What a word is counted as before the fold; None if it isn't. A digest begins with a blank, as no word does."""
+def _key(word: bytes) -> bytes:
+    """What a word is counted as before the fold. A digest begins with a blank, as no word does."""
     if len(word) <= LONGEST:
         return word
-    if not whole:
-        return None
     folded = _fold(word)
-    return folded if len(folded) <= LONGEST else b" " + hashlib.blake2b(folded, digest_size=12).hexdigest().encode()
+    return folded if len(folded) <= LONGEST else b" " + hashlib.md5(folded).hexdigest().encode()
 
 
 @dataclass
@@ -128,7 +126,7 @@ def _repeated(ids: np.ndarray, distinct: int) -> int:
     return int(covered.sum())
 
 
-def _counted(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = {}
     classes: dict[str, np.ndarray] = {}
 
@@ -137,8 +135,6 @@ def _counted(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
             folded: Counter = Counter()
             for word, n in counter.items():
                 folded[_fold(word)] += n
-            if not whole:
-                folded.pop(b"", None)
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": pa.array([lang] * len(folded), pa.string()),
@@ -152,8 +148,7 @@ def _counted(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Reco
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             counter = words.setdefault(lang, Counter())
             for word, n in Counter(text.encode(errors="replace").split()).items():
-                if (key := _key(word, whole)) is not None:
-                    counter[key] += n
+                counter[_key(word)] += n
             classes[lang] = classes.get(lang, 0) + class_counts(text)
             if sum(map(len, words.values())) > HELD:
                 yield from flush()
@@ -177,18 +172,16 @@ class References:
     index: dict[bytes, int]
     columns: np.ndarray
     words: np.ndarray
-    whole: bool
 
 
-def references(docs: DataFrame, common_words: int = COMMON, whole: bool = False) -> References:
-    """Learned from all rows of ``docs`` (lang, text) in which neither is null.
+def references(docs: DataFrame, common_words: int = COMMON) -> References:
+    """Learned from all words of all rows of ``docs`` (lang, text) in which neither is null.
 
-    With ``whole``, the shares are those of all words; else, as in ``OP5_SQL``, of those of at most ``LONGEST`` bytes
-    that aren't only stops.
-    The driver receives ``common_words`` words and one class histogram for each language label.
+    Of equally frequent words those of least MD5 are taken. The driver receives ``common_words`` words and one class
+    histogram for each language label.
     """
     rows = docs.filter("lang is not null and text is not null").select("lang", "text")
-    counts = common.arrow_map(rows, partial(_counted, whole=whole), "lang string, word binary, n long")
+    counts = common.arrow_map(rows, _counted, "lang string, word binary, n long")
     # Class counts travel as n * 16 + class, so that one pass over the texts serves both histograms.
     kind = F.when(F.col("word").isNull(), F.col("n") % 16).cast("int")
     n = F.when(F.col("word").isNull(), F.floor(F.col("n") / 16)).otherwise(F.col("n"))
@@ -199,7 +192,9 @@ def references(docs: DataFrame, common_words: int = COMMON, whole: bool = False)
     )
     classes = summed.filter("word is null").collect()
     words = summed.filter("word is not null")
-    ranked = words.filter("length(word) > 0").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    digest = F.when(F.col("word").startswith(F.lit(b" ")), F.substr("word", F.lit(2)).cast("string")).otherwise(F.md5("word"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "digest")
+    ranked = words.filter("length(word) > 0").withColumn("digest", digest).withColumn("rank", F.row_number().over(order))
     top = ranked.filter(F.col("rank") <= common_words).collect()
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({r["lang"] for r in classes})
@@ -214,7 +209,7 @@ def references(docs: DataFrame, common_words: int = COMMON, whole: bool = False)
         columns[at, r["rank"] - 1] = index[bytes(r["word"])]
         shares[at, r["rank"] - 1] = r["n"] / totals[r["lang"]]
     shares[:, -1] = 1 - shares.sum(1)
-    return References(langs, by_class / np.maximum(by_class.sum(1, keepdims=True), 1), index, columns, shares, whole)
+    return References(langs, by_class / np.maximum(by_class.sum(1, keepdims=True), 1), index, columns, shares)
 
 
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -231,7 +226,7 @@ def _nearest(text: str, words: Words, refs: References) -> tuple[float, float]:
     by_class = distances(shares[None, :], refs.classes)
     seen = np.zeros(len(refs.index) + 1)
     for word, n in zip(words.distinct, words.counts.tolist(), strict=True):
-        if (key := _key(word, refs.whole)) is not None and (at := refs.index.get(_fold(key))) is not None:
+        if (at := refs.index.get(_fold(_key(word)))) is not None:
             seen[at] += n
     total = max(1, words.base[0])
     own = seen[refs.columns] / total
@@ -264,8 +259,10 @@ def judge(text: str | None, refs: References) -> tuple:
 def quality(docs: DataFrame, refs: References | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id and the columns of ``SCHEMA``.
 
-    Defined results: a null or empty text has no words and is not kept; without any language to compare with, the
-    distances are 0 and the base rules decide alone; repeated rows are judged alike; a null doc_id is passed on.
+    Defined results: a null or empty text has no words and is not kept; a very long text is judged whole, and so is one
+    of a single word; without any language to compare with, the distances are 0 and the base rules decide alone; of
+    equally near languages the first by name counts; repeated rows are judged alike, each counted in the references; a
+    null doc_id is passed on; an empty table gives an empty result; other columns are ignored.
     """
     found = docs.sparkSession.sparkContext.broadcast(refs or references(docs))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -284,8 +281,8 @@ def quality(docs: DataFrame, refs: References | None = None) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns, judged against references learned from all words of ``docs``."""
-    found = docs.sparkSession.sparkContext.broadcast(references(docs, whole=True))
+    """The rows of ``docs`` that are kept, with all their columns, judged against references learned from ``docs``."""
+    found = docs.sparkSession.sparkContext.broadcast(references(docs))
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,12 +340,12 @@ WITH d AS (
     + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2, 0)) AS by_class FROM jk GROUP BY doc_id, lang
 ), f AS (
   SELECT doc_id, lang, has_text, regexp_replace(lower(word), '^[.,;:!?''"()-]+|[.,;:!?''"()-]+$', '', 'g') AS word FROM w
-  WHERE strlen(word) <= 24
 ), fl AS (
   SELECT lang, word, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS total FROM f
-  WHERE lang IS NOT NULL AND has_text AND word != '' GROUP BY lang, word
+  WHERE lang IS NOT NULL AND has_text GROUP BY lang, word
 ), top AS (
-  SELECT lang, word, n / total AS q FROM fl QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 100
+  SELECT lang, word, n / total AS q FROM fl WHERE word != ''
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, md5(word)) <= 100
 ), fd AS (
   SELECT doc_id, word, count(*) AS n FROM f GROUP BY doc_id, word
 ), jw AS (

@@ -181,20 +181,44 @@ def test_references_are_the_whole_corpus(spark):
     assert words[b"the"] == 3 / 7 and math.isclose(refs.words[0].sum(), 1)
 
 
-def test_long_words_count_in_the_pipeline(spark):
-    """Clean documents of one source, most of whose words have more than 24 bytes."""
+def test_long_words_count(spark):
+    """Clean documents of one source, most of whose words have more than LONGEST bytes."""
     rng = np.random.default_rng(7)
     letters = [chr(c) for c in range(0x0E01, 0x0E2F)]
     vocabulary = ["".join(rng.choice(letters, 4 if i < 60 else 12)) for i in range(300)]
     weights = np.concatenate([np.full(60, 0.1 / 60), np.full(240, 0.9 / 240)])
     docs = helpers.documents(spark, [(i, " ".join(rng.choice(vocabulary, 400, p=weights))) for i in range(40)])
     assert quality.accepted(docs).count() == 40
+    assert quality.quality(docs).filter("kept and word_distance < 0.3").count() == 40
     few = helpers.documents(spark, [(1, "ab ab cd " + 2 * ("X" * 30 + ". ") + "--")])
-    refs = quality.references(few, 2, whole=True)
+    refs = quality.references(few, 2)
     assert np.allclose(refs.words[0], 1 / 3)
     assert quality.judge("ab ab cd " + 2 * ("x" * 30 + " ") + "--", refs)[-1] < 1e-6
 
 
+def test_script_without_spaces(spark):
+    """Sentences are words of more than LONGEST bytes; the word distance still tells a foreign text."""
+    rng = np.random.default_rng(8)
+    parts = ["今日は", "明日も", "東京に", "行きます", "雨が降る", "でしょう", "とても", "寒いです", "本を読む", "音楽を聞く"]
+    sentences = ["".join(rng.choice(parts, 5)) + "。" for _ in range(60)]
+    assert min(len(x.encode()) for x in sentences) > quality.LONGEST
+    docs = [(i, " ".join(rng.choice(sentences, 80))) for i in range(30)]
+    refs = quality.references(helpers.documents(spark, docs))
+    assert len(refs.index) == 60 and math.isclose(refs.words[0, :-1].sum(), 1)
+    own, foreign = quality.judge(docs[0][1], refs), quality.judge("some other words that nobody knows here " * 12, refs)
+    assert own[-1] < 0.5 and foreign[-1] > 0.99
+
+
+def test_quality_sql_counts_long_words(spark, tmp_path):
+    """The SQL and the operator agree where most words are long, and where words are only stops."""
+    rng = np.random.default_rng(9)
+    words = [f"{'long' * 9}{i}" for i in range(150)] + ["--", "...", "short", "W" * 70 + "."]
+    rows = [(i, " ".join(rng.choice(words, 70)) + "\n", "en" if i % 3 else "de", "s", 1) for i in range(25)]
+    spark.createDataFrame(rows, helpers.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert_same(quality.op5_quality_rules(spark, str(tmp_path)), registry.oracle_sql()["op5_quality_rules"], str(tmp_path))
+
+
 def test_ftrl_against_a_plain_version():
     rng = np.random.default_rng(2)
     fast, z, n = toxicity.Ftrl(bits=4), {}, {}
