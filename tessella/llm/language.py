@@ -7,8 +7,8 @@ a worker computes each distinct word once, for all languages together.
 
 The probabilities are learned by expectation maximisation: the counts of a language's words are summed in Spark, and each
 iteration sums the expected uses of pieces (forward and backward) over the partitions of that table. The driver receives
-one number for each piece and language. The words come from at most ``MAX_TRAINING`` labelled documents, those of least id
-hash; every text is scored whole.
+one number for each piece and language. The words, of any length, come from at most ``MAX_TRAINING`` labelled documents,
+those of least id hash; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -31,10 +31,12 @@ MAX_TRAINING = 8000
 ITERATIONS = 3
 #: Added to the expected uses of every piece, and the probability of a letter that the vocabulary lacks.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
-#: Words with more letters are scored with rescaling, lest their products underflow, and aren't learned from.
-LONG = 20
-#: Words whose probabilities a worker remembers, and words counted in a task before they are handed on.
-REMEMBERED, HELD = 300_000, 200_000
+#: Words with more letters are rescaled every RESCALED letters, lest their products underflow.
+LONG, RESCALED = 20, 8
+#: Words whose probabilities a worker remembers, and the longest that it does.
+REMEMBERED, LONGEST = 300_000, 64
+#: Words and letters counted in a task before they are handed on.
+HELD, HELD_LETTERS = 200_000, 16_000_000
 #: Texts scored at a time.
 BATCH = 256
 #: Least posterior of a document that ``accepted`` keeps.
@@ -102,36 +104,48 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _forward(lattice: list[np.ndarray], shares: np.ndarray, scaled: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sums over the segmentations of all prefixes (each words x languages), and the logarithms taken out of them."""
-    count, n = lattice[0].shape
-    sums = [np.ones((count, shares.shape[1]))]
-    logs = np.zeros((count, shares.shape[1]))
-    for end in range(1, n + 1):
-        total = np.zeros_like(logs)
-        for size in range(1, min(len(lattice), end) + 1):
-            total += sums[end - size] * shares[lattice[size - 1][:, end - size]]
-        sums.append(total)
-        if scaled and end % 8 == 0:
-            window = range(max(0, end - len(lattice) + 1), end + 1)
-            most = np.maximum.reduce([sums[i] for i in window])
-            for i in window:
-                sums[i] = sums[i] / most
-            logs += np.log(most)
-            for i in range(max(0, end - 2 * len(lattice)), window.start):
-                sums[i] = None  # no longer needed
-    return sums, logs
-
-
-def _backward(lattice: list[np.ndarray], shares: np.ndarray) -> list[np.ndarray]:
+class Sums:
+    """Sums over the segmentations of every prefix of words of one length, (n + 1) x words x languages, and their scales.
+
+    The sum of the prefix of length i is ``sums[i] * exp(logs[i])``. Short words have no scales (``logs`` is None). Of the
+    reversed lattice, the sums are those of the suffixes.
+    """
+
+    def __init__(self, lattice: list[np.ndarray], shares: np.ndarray):
+        count, n = lattice[0].shape
+        self.ids = _by_end(lattice)
+        self.sums = np.ones((n + 1, count, shares.shape[1]))
+        self.logs = np.zeros_like(self.sums) if n > LONG + 1 else None
+        longest = len(lattice)
+        for end in range(1, n + 1):
+            first = max(0, end - longest)
+            here = self.sums[first:end] * shares[self.ids[end][: end - first][::-1]]
+            here.sum(0, out=self.sums[end])
+            if self.logs is not None:
+                self.logs[end] = self.logs[end - 1]
+                if end % RESCALED == 0:
+                    window = slice(max(0, end - longest + 1), end + 1)
+                    most = self.sums[window].max(0)
+                    self.sums[window] /= most
+                    self.logs[window] += np.log(most)
+
+    def total_logs(self) -> np.ndarray:
+        """The logarithm of each whole word's sum (words x languages)."""
+        return np.log(self.sums[-1]) + (0 if self.logs is None else self.logs[-1])
+
+
+def _by_end(lattice: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each end, the pieces that stop there (sizes x words), the shortest first; none stop at 0."""
     count, n = lattice[0].shape
-    sums = [np.ones((count, shares.shape[1]))]
-    for start in range(n - 1, -1, -1):
-        total = np.zeros_like(sums[0])
-        for size in range(1, min(len(lattice), n - start) + 1):
-            total += shares[lattice[size - 1][:, start]] * sums[n - start - size]
-        sums.append(total)
-    return sums[::-1]
+    ids = np.full((n + 1, len(lattice), count), -1, np.int32)
+    for size, own in enumerate(lattice, 1):
+        ids[size:, size - 1] = own.T
+    return [ids[end, : min(end, len(lattice))] for end in range(n + 1)]
+
+
+def _reversed(lattice: list[np.ndarray]) -> list[np.ndarray]:
+    """The lattice of the words read from their ends."""
+    return [x[:, ::-1] for x in lattice]
 
 
 def _by_length(words: list[str]) -> dict[int, list[int]]:
@@ -156,22 +170,24 @@ class Model:
     def word_logs(self, words: list[str]) -> np.ndarray:
         """The log probability of each word in each language."""
         out = np.empty((len(words), len(self.langs)))
-        for n, at in _by_length(words).items():
-            lattice = vocabulary(self.path).lattice([words[i] for i in at])
-            sums, logs = _forward(lattice, self.shares, n > LONG)
-            out[at] = np.log(sums[-1]) + logs
+        for at in _by_length(words).values():
+            out[at] = Sums(vocabulary(self.path).lattice([words[i] for i in at]), self.shares).total_logs()
         return out
 
     def log_probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The log probability of each text (as its words) in each language."""
         number, logs = self._cache
-        if len(number) > REMEMBERED:
+        if len(logs) > REMEMBERED:
             number, logs = {}, logs[:0]
-        new = list({w for words in texts for w in words if w not in number})
-        number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+        new = sorted({w for words in texts for w in words if w not in number}, key=len)
+        number.update(zip(new, range(len(logs), len(logs) + len(new)), strict=True))
         logs = np.concatenate([logs, self.word_logs(new)])
-        self.__dict__["_cache"] = (number, logs)
-        return [logs[[number[w] for w in words]].sum(0) for words in texts]
+        out = [logs[[number[w] for w in words]].sum(0) for words in texts]
+        forgotten = [w for w in new if len(w) > LONGEST]  # the last of them
+        for word in forgotten:
+            del number[word]
+        self.__dict__["_cache"] = (number, logs[: len(logs) - len(forgotten)])
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The likeliest language of each text and its posterior under a uniform prior; ``und`` and 0 without letters."""
@@ -189,6 +205,7 @@ class Model:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+    letters = 0
 
     def flush() -> pa.RecordBatch:
         langs, words = zip(*counts, strict=True) if counts else ((), ())
@@ -202,10 +219,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             for word, n in Counter(words_of(text)).items():
-                if len(word) <= LONG:
-                    counts[lang, word] += n
-            if len(counts) > HELD:
+                counts[lang, word] += n
+            letters += len(text)
+            if len(counts) > HELD or letters > HELD_LETTERS:
                 yield flush()
+                letters = 0
     yield flush()
 
 
@@ -215,14 +233,21 @@ def expected_uses(words: list[str], counts: np.ndarray, shares: np.ndarray, voca
     column = shares[:, None]
     for at in _by_length(words).values():
         lattice = vocab.lattice([words[i] for i in at])
-        forward, _ = _forward(lattice, column, False)
-        backward = _backward(lattice, column)
-        weight = counts[at][:, None] / forward[-1]
+        forward, backward = Sums(lattice, column), Sums(_reversed(lattice), column)
+        before, after = forward.sums[:, :, 0], backward.sums[::-1, :, 0]
+        if forward.logs is None:
+            weight = counts[at] / before[-1]
+        else:
+            total = forward.total_logs()[:, 0]
+            scale = forward.logs[:, :, 0], backward.logs[::-1, :, 0]
         for size, ids in enumerate(lattice, 1):
-            for start in range(ids.shape[1]):
-                own = ids[:, start]
-                uses = forward[start] * column[own] * backward[start + size] * weight
-                out += np.bincount(own, uses[:, 0], len(out))
+            n = ids.shape[1]
+            uses = before[:n] * column[ids.T, 0] * after[size : size + n]
+            if forward.logs is None:
+                uses *= weight
+            else:
+                uses *= np.exp(scale[0][:n] + scale[1][size : size + n] - total) * counts[at]
+            out += np.bincount(ids.T.ravel(), uses.ravel(), len(out))
     return out
 
 
@@ -270,7 +295,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs`` (doc_id, text).
 
     Defined results: texts without a letter, null and empty ones included, are ``und`` with score 0, as is everything if
-    nothing was learned; of equally likely languages the first by name wins; repeated rows get equal results; a null
+    nothing was learned; very long texts and words are scored whole; of equally likely languages the first by name wins; repeated rows get equal results; a null
     doc_id is passed on; an empty table gives an empty result; other columns are ignored.
     """
     found = docs.sparkSession.sparkContext.broadcast(model)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 import zlib
 
 import helpers
@@ -85,6 +86,41 @@ def test_long_words_are_rescaled(model):
     assert math.isclose(model.word_logs([word])[0, 0], logs[-1], rel_tol=1e-9)
 
 
+def test_expected_uses_of_long_words(model, monkeypatch):
+    """Rescaled or not, the same uses; and each letter of a very long word is used once."""
+    vocab = language.vocabulary(language.default_path())
+    words, counts = ["thingnessless", "straßenbahnen", "x" * 13], np.array([3.0, 1.0, 2.0])
+    plain = language.expected_uses(words, counts, model.shares[:, 0], vocab)
+    monkeypatch.setattr(language, "LONG", 2)
+    assert np.allclose(language.expected_uses(words, counts, model.shares[:, 0], vocab), plain, rtol=1e-9)
+    word = "thingnessяя日本" * 400
+    found = language.expected_uses([word], np.array([2.0]), model.shares[:, 1], vocab)
+    sizes = np.array([*map(len, vocab.pieces), 1, 0])
+    assert math.isclose((found * sizes).sum(), 2 * (len(word) + 1), rel_tol=1e-6)
+
+
+def test_long_words_are_learned_from(spark):
+    """Two languages whose words all have more than LONG letters."""
+    rng = np.random.default_rng(5)
+    letters = {"aa": list("abcdefg"), "bb": list("nopqrst")}
+    rows = [(i, " ".join("".join(rng.choice(letters[x], 60)) for _ in range(20)), x, "s", 1) for i, x in enumerate(["aa", "bb"] * 10)]
+    docs = spark.createDataFrame(rows, helpers.SCHEMA)
+    learned = language.train(docs, F.col("doc_id") >= 14, language.default_path())
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predicted(docs, learned).collect()}
+    assert learned.langs == ["aa", "bb"] and found == {r[0]: r[2] for r in rows}
+
+
+def test_very_long_words_take_time_in_proportion(model):
+    took = []
+    for n in (20_000, 80_000):
+        word = "".join(np.random.default_rng(1).choice(list("abcdefghijklmnop"), n))
+        began = time.process_time()
+        assert np.isfinite(model.word_logs([word])).all()
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1 and took[1] < 8
+    assert not any(len(w) > language.LONGEST for w in model._cache[0])
+
+
 @pytest.mark.parametrize("text", [None, "", " \n", "12 3.4", "½ ² Ⅷ", "_ - !"])
 def test_texts_without_letters(model, text):
     assert model.predict([text, "a"])[0] == ("und", 0.0) and model.predict(["½ a"])[0][0] != "und"
