@@ -5,17 +5,22 @@ ignores end tags without a start. Not visible are the head, scripts, styles, tem
 ``hidden`` or ``display:none`` (in their own style or by a style sheet's rule for one tag, class or id), invisible
 inputs, the closed part of ``details`` and ``visibility:hidden`` text. All other text is rendered: inline text with white
 space collapsed, blocks on lines of their own, paragraphs, headings, lists and tables between blank lines, list items
-behind markers with nested lines indented, preformatted text as it is, and a table's cells padded to the widths of their
-columns.
+behind markers with nested lines indented, preformatted text as it is, and a table's cells aligned in columns.
+
+A column is as wide as its widest cell, but at most ``WRAP`` characters: longer text is wrapped at spaces if another cell
+follows it in its row. What can't be wrapped (words, preformatted text, tables within cells) sticks out of its column, and
+the cells that follow in the row begin on the line below it. So every cell starts at its column, whatever the others
+hold, without an output that grows by the widest cell times the rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A column is padded to at most so many characters, so that one long cell doesn't multiply the output.
-MAX_PAD = 60
+#: Characters of a column at most.
+WRAP = 60
 #: Bounds of the HTML standard on spans of cells.
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
@@ -222,6 +227,30 @@ def _run(step: Step) -> object:
     return result
 
 
+class Fixed(str):
+    """A line that isn't wrapped: preformatted, or laid out already."""
+
+
+#: The indentation and list marker of a line, under which its continuations begin.
+HANG = re.compile(r" *(?:(?:-|-?\d+\.) (?=.))?")
+
+
+def wrapped(line: str) -> list[str]:
+    """A line as several of at most ``WRAP`` characters where its spaces allow that."""
+    if len(line) <= WRAP or isinstance(line, Fixed):
+        return [line]
+    head = HANG.match(line)[0]
+    out, now, used = [], [], len(head)
+    for word in line[len(head) :].split(" "):
+        if now and used + 1 + len(word) > WRAP:
+            out.append(" ".join(now))
+            now, used = [], len(head)
+        used += len(word) + bool(now)
+        now.append(word)
+    out.append(" ".join(now))
+    return [(" " * len(head) if i else head) + x for i, x in enumerate(out)]
+
+
 class Lines:
     """Lines of one block, with collapsed white space and at most one blank line between blocks."""
 
@@ -229,6 +258,7 @@ class Lines:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.pending = False  # a space, if more text follows on this line
+        self.fixed = False  # whether this line has preformatted text
         self.gap = 0
 
     def _begin(self) -> None:
@@ -255,17 +285,20 @@ class Lines:
             if not self.now:
                 self._begin()
             self.now.append(first)
+            self.fixed = True
         for line in rest:
             self.line_break()
             if line:
                 self.now.append(line)
+                self.fixed = True
         self.pending = False
 
     def line_break(self) -> None:
         if not self.now:
             self._begin()
-        self.lines.append("".join(self.now))
-        self.now, self.pending = [], False
+        line = "".join(self.now)
+        self.lines.append(Fixed(line) if self.fixed else line)
+        self.now, self.pending, self.fixed = [], False, False
 
     def block(self, gap: int) -> None:
         """Ends the line; ``gap`` 2 asks for a blank line before what follows."""
@@ -280,7 +313,7 @@ class Lines:
 
     def done(self) -> list[str]:
         self.block(0)
-        lines = [x.rstrip(" ") for x in self.lines]
+        lines = [type(x)(x.rstrip(" ")) if x[-1:] == " " else x for x in self.lines]
         while lines and not lines[-1]:
             lines.pop()
         return lines
@@ -358,7 +391,7 @@ class Renderer:
                 number += 1
                 out.block(1)
                 lines = yield self._within(child, shown)
-                out.add([(" " * len(mark) if i else mark) + x if x else x for i, x in enumerate(lines)])
+                out.add([type(x)((" " * len(mark) if i else mark) + x) if x else x for i, x in enumerate(lines)])
                 out.block(1)
         out.block(2)
 
@@ -367,7 +400,7 @@ class Renderer:
         rows: list[Node] = []
         yield self._rows(node, out, shown, rows)
         out.block(1)
-        grid: list[list[tuple[int, int, list[str]]]] = []  # of each row: (column, columns, lines)
+        grid: list[Row] = []
         taken: dict[int, int] = {}  # rows that a column is still taken by a cell above
         for row in rows:
             cells, column = [], 0
@@ -376,33 +409,14 @@ class Renderer:
                     column += 1
                 wide = min(MAX_COLSPAN, max(1, _number(cell.attrs.get("colspan"), 1)))
                 high = min(MAX_ROWSPAN, max(1, _number(cell.attrs.get("rowspan"), 1)))
-                cells.append((column, wide, (yield self._within(cell, shown))))
+                if lines := (yield self._within(cell, shown)):
+                    cells.append((column, wide, lines))
                 for i in range(column, column + wide):
                     taken[i] = high
                 column += wide
             taken = {i: n - 1 for i, n in taken.items() if n > 1}
             grid.append(cells)
-        widths: dict[int, int] = {}
-        for cells in grid:
-            for column, wide, lines in cells:
-                if wide == 1 and lines:
-                    widths[column] = max(widths.get(column, 0), min(MAX_PAD, max(map(len, lines))))
-        starts, at = {}, 0
-        for column in range(max((c + w for cells in grid for c, w, _ in cells), default=0)):
-            starts[column] = at
-            at += widths[column] + 2 if column in widths else 0
-        for cells in grid:
-            height = max((len(lines) for _, _, lines in cells), default=0)
-            block = []
-            for i in range(height):
-                line = ""
-                for column, _, lines in cells:
-                    if i < len(lines) and lines[i]:
-                        line = line.ljust(starts[column]) if not line else (line + "  ").ljust(starts[column])
-                        line += lines[i]
-                block.append(line)
-            out.add(block)
-            out.block(1)
+        out.add(_laid_out(grid))
         out.block(2)
 
     def _rows(self, node: Node, out: Lines, shown: bool, rows: list[Node]) -> Step:
@@ -427,6 +441,52 @@ class Renderer:
                 yield self._element(child, out, shown, False)
 
 
+#: The cells of a table's row that aren't empty: (column, columns, lines).
+Row = list[tuple[int, int, list[str]]]
+
+
+def _widths(rows: list[Row]) -> dict[int, int]:
+    """The width of each column that has text. One that a wider cell spans is widened if a cell follows that."""
+    widths: dict[int, int] = {}
+    for column, wide, lines in chain.from_iterable(rows):
+        if wide == 1:
+            widths[column] = max(widths.get(column, 0), min(WRAP, max(map(len, lines))))
+    for column, wide, lines in chain.from_iterable(cells[:-1] for cells in rows):
+        if wide > 1:
+            own = [x for x in range(column, column + wide) if x in widths]
+            lacking = min(WRAP, max(map(len, lines))) - sum(widths[x] + 2 for x in own) + 2
+            if lacking > 0:
+                last = own[-1] if own else column
+                widths[last] = widths.get(last, -2 if not own else 0) + lacking
+    return widths
+
+
+def _laid_out(grid: list[Row]) -> list[str]:
+    """The lines of a table."""
+    rows = [[(c, n, [y for x in lines for y in wrapped(x)]) for c, n, lines in cells[:-1]] + cells[-1:] for cells in grid]
+    widths = _widths(rows)
+    columns = sorted(widths)
+    starts = list(accumulate((widths[c] + 2 for c in columns), initial=0))
+
+    def start(column: int) -> int:
+        return starts[bisect_left(columns, column)]
+
+    out: list[str] = []
+    for cells in rows:
+        block: list[str] = []
+        top = 0  # the line on which the next cell begins
+        for i, (column, _, lines) in enumerate(cells):
+            block += [""] * (top + len(lines) - len(block))
+            for at, line in enumerate(lines, top):
+                if line:
+                    block[at] = block[at].ljust(start(column)) + line
+            if i + 1 < len(cells):
+                room = start(cells[i + 1][0]) - 2
+                top = max((at for at, line in enumerate(block[top:], top + 1) if len(line) > room), default=top)
+        out += map(Fixed, block)
+    return out
+
+
 def _number(raw: str | None, default: int) -> int:
     found = re.match(r"\s*([+-]?\d{1,9})", raw or "")
     return int(found[1]) if found else default
@@ -444,8 +504,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, text) of every row of ``pages`` (page_id, html).
 
     Defined results: a null or empty page, and one without visible text, has an empty text; broken markup is text or
-    ignored, never an error; repeated rows give repeated results; a null page_id is passed on; an empty table gives an
-    empty result; other columns are ignored.
+    ignored, never an error; very long and very deep pages are read whole; repeated rows give repeated results; a null
+    page_id is passed on; an empty table gives an empty result; other columns are ignored.
     """
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

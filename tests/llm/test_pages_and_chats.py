@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from html.parser import HTMLParser
 
@@ -135,6 +136,10 @@ def test_pages_have_all_their_text(spark, sf_dir):
         ("<p", ""),
         ("text <", "text <"),
         ("<dl><dt>k<dd>v<dt>l<dd>w</dl>", "k\nv\nl\nw"),
+        ("<table><tr><td colspan=2>a wide one<td>c<tr><td>a<td>b<td>d</table>", "a wide one  c\na  b        d"),
+        ("<table><tr><td colspan=2>only<td>c</table>", "only  c"),
+        ("<table><tr><td>a<td>" + "x " * 50 + "<tr><td>b<td>y</table>", "a  " + "x " * 49 + "x\nb  y"),
+        ("<table><tr><td>a<br>b<td>c<tr><td><td>d</table>", "a  c\nb\n   d"),
     ],
 )
 def test_rendering(source, text):
@@ -166,15 +171,83 @@ def test_deep_pages_keep_their_tree(around, source, text):
     assert "\n".join(x[len(marks) :] for x in lines) == text
 
 
+WORDS = " ".join(f"word{i}" for i in range(40))
+
+
+@pytest.mark.parametrize("cell", ["a" * 59, "a" * 60, "a" * 61, "a" * 80, "a" * 5000, WORDS, "x" * 70 + " " + WORDS, "日" * 90])
+def test_columns_align_at_any_width(cell):
+    """The third column starts at one place, and all text of the first is there in order."""
+    page = f"<table><tr><td>{cell}<td>B1<td>C1<tr><td>short<td>B2<td>C2<tr><td><td>B3<td>C3</table>"
+    lines = visible_text(page).split("\n")
+    for mark in "BC":
+        places = {x.index(f"{mark}{i}") for x in lines for i in (1, 2, 3) if f"{mark}{i}" in x}
+        assert len(places) == 1 and places.pop() <= 2 * (html_text.WRAP + 2)
+    kept = re.sub(r"\s", "", "".join(lines))
+    assert kept.replace("B1C1", "") == re.sub(r"\s", "", cell) + "shortB2C2B3C3"
+    assert all(w in "\n".join(lines).split() for w in cell.split())
+
+
+def _made_block(rng) -> tuple[str, list[str]]:
+    """The markup of a random block, with end tags or without, and its lines."""
+    word = lambda: "".join(rng.choices("abcdé日", k=rng.randrange(1, 9)))
+    kind = rng.choice(["p", "h2", "ul", "ol", "table", "pre", "hidden", "script"])
+    close = rng.random() < 0.5
+    if kind in ("p", "h2"):
+        words = [word() for _ in range(rng.randrange(1, 12))]
+        inside = rng.choice([" ", "\n", " <!-- c --> "]).join(f"<b>{w}</b>" if rng.random() < 0.2 else w for w in words)
+        return f"<{kind}>{inside}" + (f"</{kind}>" if close or kind == "h2" else ""), [" ".join(words)]
+    if kind in ("ul", "ol"):
+        items = [word() for _ in range(rng.randrange(1, 5))]
+        marks = [f"{i}. " if kind == "ol" else "- " for i in range(1, 9)]
+        end = "</li>" if close else ""
+        return f"<{kind}>" + "".join(f"<li>{x}{end}" for x in items) + f"</{kind}>", [m + x for m, x in zip(marks, items, strict=False)]
+    if kind == "table":
+        width = rng.randrange(1, 5)
+        grid = [[word() if rng.random() < 0.8 else "" for _ in range(width)] for _ in range(rng.randrange(1, 5))]
+        end = "</td>" if close else ""
+        source = "".join("<tr>" + "".join(f"<td>{x}{end}" for x in row) for row in grid)
+        used = [max(len(r[i]) for r in grid) for i in range(width)]
+        lines = ["".join(x.ljust(n + 2) for x, n in zip(row, used, strict=True) if n).rstrip() for row in grid]
+        return f"<table>{source}</table>", [x for x in lines if x]
+    if kind == "pre":
+        lines = [" " * rng.randrange(4) + f"{word()}  {word()}" for _ in range(3)]
+        return "<pre>" + "\n".join(lines) + "</pre>", lines
+    return rng.choice(["<div hidden><p>no</div>", "<script>if (a<b) '<p>'</script>", "<p style='display: none'>no</p>"]), []
+
+
+def test_layout_of_made_pages(spark, tmp_path):
+    """The query's rows against the lines that random pages were made of."""
+    rng = random.Random(12)
+    rows, expected = [], {}
+    for i in range(300):
+        blocks = [_made_block(rng) for _ in range(rng.randrange(0, 9))]
+        text = "\n\n".join("\n".join(lines) for _, lines in blocks if lines)
+        rows.append((i, "http://x", "<html><head><title>no</title></head><body>" + "\n".join(x for x, _ in blocks)))
+        expected[i] = text
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.op7_html_text(spark, str(tmp_path)).collect()}
+    assert found == {i: (t, len(t)) for i, t in expected.items()}
+
+
+def test_what_is_laid_out_is_not_wrapped():
+    code = "def f(x):   return " + "x + " * 20 + "1"
+    inner = "<table><tr><td>" + "p" * 50 + "<td>" + "q" * 50 + "</table>"
+    lines = visible_text(f"<table><tr><td><pre>{code}\nend</pre><td>R1<tr><td>{inner}<td>R2</table>").split("\n")
+    assert lines == [code, "end".ljust(62) + "R1", "p" * 50 + "  " + "q" * 50, " " * 62 + "R2"]
+    items = visible_text(f"<table><tr><td><ol><li>{WORDS}</ol><td>R</table>").split("\n")
+    assert items[0].startswith("1. word0 ") and items[0].endswith("R") and items[1].startswith("   word")
+
+
 def test_long_cells_do_not_multiply():
     page = "<table><tr><td>" + "a" * 100_000 + "<td>b" + "<tr><td>c<td>d" * 500 + "</table>"
     assert len(visible_text(page)) < 200_000
 
 
 def test_pages_awkward(spark):
-    rows = [(1, "", None, "", ""), (1, "", None, "", ""), (None, "", "<p>x", "", "")]
-    found = html_text.extracted(pages(spark, rows)).collect()
-    assert sorted((r["page_id"] or 0, r["text"]) for r in found) == [(0, "x"), (1, ""), (1, "")]
+    rows = [(1, "", None, "", ""), (1, "", None, "", ""), (None, "", "<p>x", "", ""), (3, "", "<p>" + "y " * 10**6, "", "")]
+    clashing = pages(spark, rows).selectExpr("*", "'t' AS text", "7 AS n_chars")
+    found = html_text.extracted(clashing).collect()
+    assert sorted((r["page_id"] or 0, r["text"]) for r in found) == [(0, "x"), (1, ""), (1, ""), (3, ("y " * 10**6).strip())]
     assert html_text.extracted(pages(spark, [])).collect() == []
 
 
