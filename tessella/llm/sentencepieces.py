@@ -6,13 +6,21 @@ crosses a cut. The distinct words that a batch adds to a worker's cache are merg
 flat array; each round takes every word's pair of least rank (by a segmented minimum), merges its leftmost occurrence, or
 all that don't overlap where that can't change the order of merges, looks up the ranks of the new pairs and compacts the
 arrays; words without a pair leave. Characters that the vocabulary lacks become pieces of single bytes.
+
+A word of more than ``LONG`` characters would need a round for nearly every rank. Its rounds merge more at a time: every
+pair with no pair of lower rank within as many symbols on both sides as the longest piece has characters. Nothing else can
+reach such a pair before its turn: whatever would take one of its two symbols has to be made, or to stand, within one
+piece's length of it, and the first merge of that kind would be a pair of lower rank there. Of pairs of equal rank that
+overlap, every second one merges, counted from the first, once that one is free to. When a round merges little, as in
+periodic text whose pairs wait for each other, a heap of the remaining pairs ends the word.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +32,8 @@ from .lookup import KeyTable
 
 #: Words whose ids a worker remembers, and the longest (in characters) that it does.
 REMEMBERED, LONGEST = 400_000, 64
+#: Characters of a word beyond which it is merged in several places in each round, while one in LITTLE symbols merges.
+LONG, LITTLE = 200, 64
 #: Texts encoded at a time.
 BATCH = 256
 
@@ -79,6 +89,7 @@ class Pieces:
             for half in (left, right):
                 if half < n and half in order and order[i] < order[half]:
                     self.unsafe[half] = True
+        self.reach = max(map(len, ids), default=1)
         self.surface = [x.replace(MARK, " ") for x in self.text]
         for i in self.control:
             self.surface[i] = ""
@@ -94,7 +105,13 @@ class Pieces:
         lefts, rights = np.array(list(pairs), np.int64).reshape(-1, 2).T
         self.made = np.fromiter(pairs.values(), np.int64, len(pairs))
         self.ranks = np.array([order[i] for i in pairs.values()], np.int32)
-        self.table = KeyTable(lefts * (self.size + CODE_POINTS) + rights)
+        self.keys = lefts * (self.size + CODE_POINTS) + rights
+        self.table = KeyTable(self.keys)
+
+    @cached_property
+    def _number(self) -> dict[int, int]:
+        """The number of each pair's merge by its key, for lookups of single pairs."""
+        return dict(zip(self.keys.tolist(), range(len(self.keys)), strict=True))
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The number of each pair's merge, -1 if it never merges."""
@@ -130,6 +147,54 @@ class Pieces:
             symbols, word, merges = self._merged(at, symbols, word, merges)
         return self._collected(len(words), done_words, done_symbols)
 
+    def merge_long(self, word: str) -> np.ndarray:
+        """The ids of one long word."""
+        symbols = self.of_char[np.frombuffer(word.encode("utf-32-le", "replace"), np.uint32)]
+        one = np.zeros(len(symbols), np.int64)
+        merges = np.full(len(symbols), -1, np.int64)
+        merges[:-1] = self._look_up(symbols[:-1], symbols[1:])
+        while (merges >= 0).any():
+            ranks = np.where(merges >= 0, self.ranks[merges], NEVER)
+            before, after = _least_before(ranks, self.reach), _least_before(ranks[::-1], self.reach)[::-1]
+            free = (ranks <= before) & (ranks <= after)
+            places = np.arange(len(ranks))
+            starts = np.concatenate([[True], ranks[1:] != ranks[:-1]])  # of runs of equal ranks
+            first = np.maximum.accumulate(np.where(starts, places, 0))
+            held = np.cumsum(~free)  # places that aren't free, up to each place
+            free &= (held == held[first]) & free[first] & ((places - first) % 2 == 0) & (merges >= 0)
+            at = np.flatnonzero(free & ((ranks < before) | ~self.unsafe[self.made[merges]]))
+            if len(at) * LITTLE < len(symbols):
+                symbols = self._merged_by_heap(symbols, merges)
+                break
+            symbols, one, merges = self._merged(at, symbols, one, merges)
+        return self._collected(1, [one[: len(symbols)]], [symbols])[0]
+
+    def _merged_by_heap(self, symbols: np.ndarray, merges: np.ndarray) -> np.ndarray:
+        """What is left of a word's ``symbols`` when its pairs merge one by one."""
+        at = np.flatnonzero(merges >= 0)
+        heap = list(zip(self.ranks[merges[at]].tolist(), at.tolist(), merges[at].tolist(), strict=True))
+        heapify(heap)
+        symbol, merge = symbols.tolist(), merges.tolist()
+        n, base = len(symbol), self.size + CODE_POINTS
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        made, ranks, number = self.made.tolist(), self.ranks.tolist(), self._number
+        while heap:
+            _, i, m = heappop(heap)
+            if merge[i] != m:  # one of the two has changed
+                continue
+            j = after[i]
+            symbol[i], symbol[j], merge[j] = made[m], -1, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left < 0:
+                    continue
+                merge[left] = found = -1 if right >= n else number.get(symbol[left] * base + symbol[right], -1)
+                if found >= 0:
+                    heappush(heap, (ranks[found], left, found))
+        return np.array([x for x in symbol if x >= 0], np.int64)
+
     def _leftmost(self, at: np.ndarray, word: np.ndarray, merges: np.ndarray) -> np.ndarray:
         """Of the places with their word's least rank, those that are merged in this round."""
         new_word = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
@@ -179,7 +244,9 @@ class Pieces:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list({x for words in cut for x in words if x not in self.known})
-        merged = dict(zip(new, (x.tobytes() for x in self.merge(new)), strict=True)) if new else {}
+        short = [x for x in new if len(x) <= LONG]
+        merged = dict(zip(short, (x.tobytes() for x in self.merge(short)), strict=True)) if short else {}
+        merged |= {x: self.merge_long(x).tobytes() for x in new if len(x) > LONG}
         known = self.known
         known.update(merged)
         out = [b"".join([known[x] for x in words]) for words in cut]
@@ -207,13 +274,32 @@ class Pieces:
         return text[1:] if first is not None and self.text[first].startswith(MARK) else text
 
 
+def _least_before(ranks: np.ndarray, reach: int) -> np.ndarray:
+    """At each place, the least of the ``reach`` (or more) ranks before it."""
+    least, width = ranks, 1
+    while width < reach:  # the least of the ``width`` ranks up to each place
+        least = np.minimum(least, _shifted(least, width))
+        width *= 2
+    return _shifted(least, 1)
+
+
+def _shifted(ranks: np.ndarray, by: int) -> np.ndarray:
+    out = np.full_like(ranks, NEVER)
+    out[by:] = ranks[:-by]
+    return out
+
+
 def _utf8(raw: bytearray) -> str:
     """The characters of ``raw``; each byte that begins no whole character is a replacement character."""
-    try:
-        return raw.decode()
-    except UnicodeDecodeError as error:
-        head = raw[: error.start].decode()
-        return f"{head}�{_utf8(raw[error.start + 1 :])}"
+    parts = []
+    while raw:
+        try:
+            parts.append(raw.decode())
+            break
+        except UnicodeDecodeError as error:
+            parts.append(raw[: error.start].decode() + "�")
+            raw = raw[error.start + 1 :]
+    return "".join(parts)
 
 
 @lru_cache(maxsize=2)
@@ -226,7 +312,8 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) of every row of ``docs`` (doc_id, text): ids (binary) with begin and end, and their text.
 
     ``ids`` are little-endian unsigned 32-bit integers. Defined results: a null text is encoded as an empty one, which
-    has the begin and end ids alone; a null doc_id is passed on; repeated rows give repeated results; an empty table
+    has the begin and end ids alone; very long texts and words are encoded whole; of equal pairs the leftmost merges first,
+    as in the library; a null doc_id is passed on; repeated rows give repeated results; an empty table
     gives an empty result; other columns are ignored.
     """
     path = path or default_path()
@@ -247,7 +334,6 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     return common.arrow_map(rows, coded, "doc_id long, ids binary, decoded string")
 
 
-
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
     coded = encoded(common.table(spark, sf_dir, "documents", "doc_id", "text"))
     return coded.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from functools import cache
 
@@ -138,6 +139,30 @@ def test_words_without_end(text):
     assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == library.encode(text)
 
 
+def test_long_words_merge_in_several_places():
+    """Random and periodic words of a few letters, by the rounds of long words and by those of short ones."""
+    rng = random.Random(6)
+    model = sentencepieces.pieces(sentencepieces.default_path())
+    for _ in range(300):
+        letters = rng.sample("abcdefghinorstuéß日-.", rng.choice([2, 3, 5, 12]))
+        word = "".join(rng.choices(letters, k=rng.randrange(2, 700)))
+        word = word[: rng.randrange(1, 14)] * rng.randrange(2, 60) if rng.random() < 0.4 else word
+        assert model.merge_long(word).tolist() == model.merge([word])[0].tolist()
+
+
+@pytest.mark.parametrize("kind", ["random", "the", "aab", "a"])
+def test_long_words_take_time_in_proportion(kind):
+    model = sentencepieces.pieces(sentencepieces.default_path())
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_path())
+    text = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=80_000))
+    text = text if kind == "random" else kind * (80_000 // len(kind))
+    model.encode(["warm" * 80])
+    began = time.process_time()
+    ours = model.encode([text])[0]
+    assert time.process_time() - began < 3
+    assert np.frombuffer(ours, "<u4").tolist() == library.encode(text)
+
+
 def test_sentencepiece_query(spark, sf_dir):
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_path())
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
