@@ -1,6 +1,7 @@
 """Exact de-duplication by a tree-merge of sorted digest runs.
 
-Every input partition sorts the digests of its texts into a run of unique records (digest, check, smallest id, rows).
+Every input partition makes the digests of its texts a run of unique records (digest, check, smallest id, rows, rows of
+that id): it sorts each batch and merges runs of like size, so a record is merged as often as the logarithm of the batches.
 The runs then meet in binomial rounds over 2**k lanes. A round covers up to ``FAN_BITS`` bits of the lane number:
 lanes that differ in these bits only exchange slices of their runs, each keeps the digests that begin with its own bits,
 and merges what it gets. After the last round, lane ``i`` holds the whole result for the digests that begin with the bits
@@ -14,53 +15,91 @@ a merge that sees them differ stops the job rather than dropping a document.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Bits of the lane number that one round settles: up to 2**FAN_BITS runs meet in a merge.
 FAN_BITS = 3
-#: Records in a row of the exchange, 56 bytes each.
+#: Records in a row of the exchange, 64 bytes each.
 CHUNK = 1 << 16
 #: A group with at least 1/HOT of all rows is joined by broadcast; there are at most HOT such groups.
 HOT = 1000
 
-RECORD = np.dtype([("digest", "S32"), ("check", "<i8"), ("id", "<i8"), ("rows", "<i8")])
+RECORD = np.dtype([("digest", "S32"), ("check", "<i8"), ("id", "<i8"), ("rows", "<i8"), ("same", "<i8")])
 NO_ID = np.iinfo(np.int64).max
 
 
-def merged(runs: list[np.ndarray]) -> np.ndarray:
-    """One sorted run of unique digests from several, with the smallest id and the number of rows of each."""
-    run = np.concatenate(runs) if runs else np.empty(0, RECORD)
-    if not len(run):
-        return run
-    run = run[np.argsort(run["digest"], kind="stable")]
-    starts = np.flatnonzero(np.concatenate([[True], run["digest"][1:] != run["digest"][:-1]]))
+def _prefixes(run: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The first ``bits`` bits of every digest."""
+    return np.ascontiguousarray(run["digest"]).view(">u8")[::4].astype(np.uint64) >> np.uint64(64 - bits)
+
+
+def _merged_order(prefixes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending arrays, all values in order and their places in the arrays put end to end; runs meet in pairs."""
+    starts = accumulate(map(len, prefixes), initial=0)
+    runs = [(x, np.arange(at, at + len(x))) for x, at in zip(prefixes, starts, strict=False)]
+    while len(runs) > 1:
+        runs.sort(key=lambda run: len(run[0]), reverse=True)
+        (right, right_at), (left, left_at) = runs.pop(), runs.pop()
+        at = np.searchsorted(left, right, side="right") + np.arange(len(right))
+        rest = np.ones(len(left) + len(right), bool)
+        rest[at] = False
+        values, places = np.empty(len(rest), np.uint64), np.empty(len(rest), np.int64)
+        values[at], values[rest], places[at], places[rest] = right, left, right_at, left_at
+        runs.append((values, places))
+    return runs[0]
+
+
+def _folded(run: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    """A run in order by prefix with its records of equal digests made one."""
+    digests = run["digest"]
+    like = np.flatnonzero(prefixes[1:] == prefixes[:-1])
+    if (digests[like] != digests[like + 1]).any():  # different digests share a prefix: their order is that of the rest
+        run = run[np.argsort(digests, kind="stable")]
+        digests = run["digest"]
+    first = np.ones(len(run), bool)
+    first[like + 1] = digests[like] != digests[like + 1]
+    starts = np.flatnonzero(first)
     out = run[starts]
     checks = run["check"]
     if (np.minimum.reduceat(checks, starts) != np.maximum.reduceat(checks, starts)).any():
         raise ValueError("two different texts share a SHA-256 digest")
     out["id"] = np.minimum.reduceat(run["id"], starts)
     out["rows"] = np.add.reduceat(run["rows"], starts)
+    least = np.repeat(out["id"], np.diff(np.append(starts, len(run))))
+    out["same"] = np.add.reduceat(np.where(run["id"] == least, run["same"], 0), starts)
     return out
 
 
-def _prefixes(run: np.ndarray, bits: int) -> np.ndarray:
-    """The first ``bits`` (at most 32) bits of every digest."""
-    raw = np.ascontiguousarray(run["digest"]).view(np.uint8).reshape(len(run), 32)[:, :4]
-    return (np.ascontiguousarray(raw).view(">u4").ravel().astype(np.int64)) >> (32 - bits)
+def merged(runs: list[np.ndarray]) -> np.ndarray:
+    """The multiway merge of sorted runs: one sorted run of unique digests, with the smallest id and the rows of each."""
+    runs = [x for x in runs if len(x)]
+    if not runs:
+        return np.empty(0, RECORD)
+    prefixes, places = _merged_order([_prefixes(x) for x in runs])
+    return _folded(np.concatenate(runs)[places], prefixes)
+
+
+def sorted_run(records: np.ndarray) -> np.ndarray:
+    """A run from records in any order."""
+    prefixes = _prefixes(records)
+    order = np.argsort(prefixes, kind="stable")
+    return _folded(records[order], prefixes[order]) if len(records) else records
 
 
 def _slices(lane: int, run: np.ndarray, done: int, step: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """What ``lane`` sends in the round that settles bits ``done`` to ``done + step``: (receiver, slice)."""
     if not len(run):
         return
-    own = _prefixes(run, done + step) & ((1 << step) - 1)
+    own = _prefixes(run, done + step).astype(np.int64) & ((1 << step) - 1)
     shift = bits - done - step
     cuts = np.flatnonzero(np.diff(own)) + 1
     for part in np.split(run, cuts):
@@ -84,18 +123,20 @@ def _received(batches: Iterable[pa.RecordBatch]) -> dict[int, list[np.ndarray]]:
     return runs
 
 
-def _leaves(step: int, bits: int):
+def _leaves(step: int, bits: int, lane: int | None = None):
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = np.empty(0, RECORD)
+        runs: list[np.ndarray] = []
         for batch in batches:
             new = np.empty(batch.num_rows, RECORD)
             new["digest"] = np.frombuffer(b"".join(batch["digest"].to_pylist()), "S32")
             new["check"] = batch["check"].to_numpy(zero_copy_only=False)
             new["id"] = batch["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            new["rows"] = 1
-            run = merged([run, merged([new])])
-        lane = TaskContext.get().partitionId() & ((1 << bits) - 1)
-        yield from _rows(_slices(lane, run, 0, step, bits))
+            new["rows"] = new["same"] = 1
+            runs.append(sorted_run(new))
+            while len(runs) > 1 and len(runs[-2]) <= 2 * len(runs[-1]):
+                runs[-2:] = [merged(runs[-2:])]
+        own = TaskContext.get().partitionId() & ((1 << bits) - 1) if lane is None else lane
+        yield from _rows(_slices(own, merged(runs), 0, step, bits))
 
     return leaves
 
@@ -119,14 +160,15 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "digest": pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()),
                     "keep_id": pa.array(part["id"], mask=part["id"] == NO_ID),
                     "group_size": pa.array(part["rows"]),
+                    "keep_rows": pa.array(part["same"]),
                 }
             )
 
 
 def tree_merge(digests: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
-    """(digest, keep_id, group_size) of each distinct digest in ``digests`` (doc_id, digest binary(32), check long).
+    """(digest, keep_id, group_size, keep_rows) of each distinct digest in ``digests`` (doc_id, digest binary(32), check long).
 
-    The number of lanes is the session's number of shuffle partitions, rounded up to a power of two.
+    keep_id is the smallest doc_id, group_size counts all rows, keep_rows those that have the keep_id. The number of lanes is the session's number of shuffle partitions, rounded up to a power of two.
     """
     bits = max(1, (common.shuffle_partitions(digests.sparkSession) - 1).bit_length())
     rounds = -(-bits // fan_bits)
@@ -139,32 +181,41 @@ def tree_merge(digests: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
         runs = runs.repartitionById(1 << bits, F.col("lane"))
         if i + 1 < rounds:
             runs = common.arrow_map(runs, _level(done, steps[i + 1], bits), wire)
-    return common.arrow_map(runs, _roots, "digest binary, keep_id long, group_size long")
+    return common.arrow_map(runs, _roots, "digest binary, keep_id long, group_size long, keep_rows long")
+
+
+def _plain(text: Column) -> Column:
+    """What is compared of a text: white space counts as one space, null as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), common.BLANK, " ")
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, check) of ``docs`` (doc_id, text); white space counts as one space, a null text as empty."""
-    plain = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), common.BLANK, " ")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain.alias("plain")).select(
+    """(doc_id, digest, check) of ``docs`` (doc_id, text)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _plain(F.col("text")).alias("plain")).select(
         "doc_id", F.unhex(F.sha2("plain", 256)).alias("digest"), F.xxhash64("plain").alias("check")
     )
 
 
+def _groups(digests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups of more than one row: those that hold 1/HOT of all rows or more, and the others."""
+    groups = common.durable(tree_merge(digests).filter("group_size > 1"))
+    total = digests.count()
+    return groups.filter(F.col("group_size") * HOT >= total), groups.filter(F.col("group_size") * HOT < total)
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after replacing each run of white space by one space. Defined results: a null text
-    is an empty one, and all empty texts are one group; rows without doc_id count in their group but never become its
-    keep_id, and are kept only in a group without any id (keep_id null); repeated rows of one doc_id are one document
-    and share its decision; an empty table gives an empty result; other columns are ignored.
+    is an empty one, and all empty texts are one group; very long texts are compared whole; rows without doc_id count in
+    their group but never become its keep_id, and are kept only in a group without any id (keep_id null); repeated rows
+    of one doc_id are one document and share its decision, a doc_id with different texts is one for each; an empty table
+    gives an empty result; other columns are ignored.
     """
     digests = common.durable(text_digests(docs))
-    groups = common.durable(tree_merge(digests).filter("group_size > 1"))
-    total = digests.count()
-    hot = groups.filter(F.col("group_size") * HOT >= total)
-    with_hot = digests.join(F.broadcast(hot), "digest", "left")
+    hot, cold = _groups(digests)
+    with_hot = digests.join(F.broadcast(hot), "digest", "left")  # at most HOT groups
     rest = with_hot.filter("group_size is null").select("doc_id", "digest")
-    cold = groups.filter(F.col("group_size") * HOT < total)
     joined = with_hot.filter("group_size is not null").unionByName(
         rest.join(cold, "digest", "left"), allowMissingColumns=True
     )
@@ -180,9 +231,32 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows without doc_id stay."""
-    found = exact_duplicates(docs.select("doc_id", "text"))
-    return common.without_ids(docs, found.filter("not kept and doc_id is not null").select("doc_id"))
+    """One row of ``docs`` for each text, with all its columns: one that has the smallest doc_id of the text's rows.
+
+    Defined results are those of ``exact_duplicates``, but that one row stays where several have the smallest doc_id,
+    or where none has one; which of these isn't defined, as they differ at most in white space and other columns.
+    """
+    digests = common.durable(text_digests(docs.select("doc_id", "text")))
+    renamed = [F.col(c).alias(f"__{c}") for c in ("digest", "keep_id", "group_size", "keep_rows")]
+    hot, cold = (x.select(renamed) for x in _groups(digests))
+    rows = docs.withColumn("__own", F.unhex(F.sha2(_plain(F.col("text")), 256)))
+    stays = F.expr("__group_size is null or cast(doc_id as bigint) <=> __keep_id")
+
+    def kept(groups: DataFrame, left: DataFrame) -> DataFrame:
+        return left.join(groups, left["__own"] == groups["__digest"], "left").filter(stays)
+
+    # Of a hot group hardly a row goes on to the second join.
+    one = F.coalesce("__keep_rows", F.lit(1)) == 1
+    first = kept(F.broadcast(hot), rows).filter(one).select(rows.columns)
+    single = kept(cold.hint("shuffle_hash"), first).filter(one).select(docs.columns)
+    several = [x.filter("__keep_rows > 1") for x in (hot, cold)]
+    if several[0].unionByName(several[1]).isEmpty():
+        return single
+    again = reduce(DataFrame.unionByName, (
+        rows.join(x.hint(how), rows["__own"] == x["__digest"]).filter(stays).select(rows.columns)
+        for x, how in zip(several, ("broadcast", "shuffle_hash"), strict=True)
+    ))
+    return single.unionByName(again.dropDuplicates(["__own"]).select(docs.columns))
 
 
 OP9_SQL = r"""

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import helpers
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import assert_same
 
@@ -44,12 +46,62 @@ def test_exact_empty_and_filter(spark):
 
 
 def test_a_clash_of_digests_is_an_error():
-    runs = [np.array([(b"d" * 32, check, 1, 1)], exact_dedup.RECORD) for check in (5, 6)]
+    runs = [np.array([(b"d" * 32, check, 1, 1, 1)], exact_dedup.RECORD) for check in (5, 6)]
     with pytest.raises(ValueError, match="share"):
         exact_dedup.merged(runs)
     assert exact_dedup.merged([runs[0], runs[0]])["rows"].tolist() == [2]
 
 
+def records(keys, ids):
+    out = np.zeros(len(keys), exact_dedup.RECORD)
+    out["digest"], out["id"], out["rows"], out["same"] = keys, ids, 1, 1
+    return out
+
+
+@pytest.mark.parametrize("prefix", [b"", b"p" * 8, b"p" * 20])
+def test_merges_of_many_runs(prefix):
+    """Against a dictionary, also where all digests share their first bytes."""
+    rng = random.Random(len(prefix))
+    keys = [prefix + rng.randbytes(32 - len(prefix)) for _ in range(400)]
+    rows = [(rng.choice(keys), rng.randrange(50)) for _ in range(3000)]
+    cuts = [0, *sorted(rng.sample(range(3000), 12)), 3000]
+    runs = [exact_dedup.sorted_run(records(*zip(*rows[a:b], strict=True))) for a, b in zip(cuts, cuts[1:], strict=False)]
+    found = exact_dedup.merged(runs)
+    ids = {}
+    for key, i in rows:
+        ids.setdefault(key, []).append(i)
+    expected = [(k, min(v), len(v), v.count(min(v))) for k, v in sorted(ids.items())]
+    assert [(k.ljust(32, b"\0"), i, n, m) for k, _, i, n, m in found.tolist()] == expected
+    assert len(exact_dedup.merged([])) == 0 and len(exact_dedup.sorted_run(records([], []))) == 0
+
+
+def test_long_runs_take_time_in_proportion():
+    rng = np.random.default_rng(3)
+    n, step = 400_000, 10_000
+    batches = [records(np.frombuffer(rng.bytes(32 * step), "S32"), np.arange(step)) for _ in range(n // step)]
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("check", pa.int64())])
+    arrow = [
+        pa.record_batch([pa.array(b["id"]), pa.array([x.ljust(32, b"\0") for x in b["digest"].tolist()]), pa.array(b["check"])], schema)
+        for b in batches
+    ]
+    began = time.process_time()
+    total = sum(len(x["run"][0].as_py()) for x in exact_dedup._leaves(1, 1, lane=0)(iter(arrow)))
+    assert total == n * exact_dedup.RECORD.itemsize and time.process_time() - began < 2.5
+
+
+def test_one_row_of_each_text_stays(spark, monkeypatch):
+    """Rows that doc_id doesn't tell apart, in hot groups and in others."""
+    rows = [(7, "x y"), (7, "x  y"), (7, "other"), (8, "x y"), (None, "x y"), (None, "n q"), (None, "n\tq"), (None, "n q"), (None, "m"), (3, "z")]
+    rows += [(20, "many")] * 40 + [(21, "many")] * 5
+    for hot in (3, 1000):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        docs = helpers.documents(spark, rows, extra=True)
+        left = exact_dedup.deduplicated(docs)
+        assert left.columns == docs.columns
+        found = sorted((r["doc_id"] or 0, " ".join(r["text"].split())) for r in left.collect())
+        assert found == [(0, "m"), (0, "n q"), (3, "z"), (7, "other"), (7, "x y"), (20, "many")]
+
+
 def test_tree_merge_of_many_digests(spark):
     from pyspark.sql import functions as F
 
