@@ -3,28 +3,23 @@ r"""URL filters: a blocked Bloom filter in front of an exact hash join, in DataF
 A rule (verdict, host, path) fits a URL on its host or any subdomain whose path starts with the rule's. Every rule has a
 canonical form, ``host`` + ``path``, and a shape, its number of host labels and its path's length. A URL's candidates are
 its own canonical prefixes of the shapes that the list has, so a row makes as many candidates as there are shapes, never
-one for each rule. The Bloom filter (256-bit blocks, one bit in each of four 64-bit words) drops nearly all candidates of
-the distinct (host, path) in the stage that makes them; the hits alone go on, to the exact join.
+one for each rule. The Bloom filter drops nearly all candidates of the distinct (host, path) in the stage that makes them;
+the hits alone go on, to the exact join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import bloom, common
 
-#: Bits of the filter for each listed rule; a block has WORDS words of 64 bits.
-BITS_PER_RULE = 16
-WORDS = 4
 #: Words that the filter may have to be held whole by every task (8 MB); beyond, its blocks are joined.
-MAX_HELD_WORDS = 1 << 20
-#: Rules (long keys: some 100 bytes each) up to which the exact join is broadcast; beyond, it shuffles.
-MAX_BROADCAST_RULES = 200_000
+MAX_HELD_WORDS = bloom.MAX_WORDS
+#: Bytes of rules, with so many for each besides its text, up to which the exact join is broadcast; beyond, it shuffles.
+MAX_BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (
@@ -68,34 +63,9 @@ def _labels(host: Column) -> Column:
     return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key), 32) % blocks
-
-
-def _bit(key: Column, word: int) -> Column:
-    """A 64-bit mask with the one bit that ``key`` sets in the given word of its block."""
-    at = F.shiftrightunsigned(F.xxhash64(key), 6 * word).bitwiseAND(F.lit(63)).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
-
-
-def bloom_blocks(rules: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0 .. w3) of the filter over ``rules.rule``; blocks without a rule are left out."""
-    words = [F.bit_or(_bit(F.col("rule"), i)).alias(f"w{i}") for i in range(WORDS)]
-    return rules.groupBy(_block(F.col("rule"), blocks).alias("block")).agg(*words)
-
-
-def _words(bloom: DataFrame, blocks: int) -> Column:
-    """The whole filter as one array, by a scalar subquery: word ``i`` of block ``b`` is at b * WORDS + i."""
-    every = bloom.sparkSession.range(blocks).withColumnRenamed("id", "block").join(bloom, "block", "left")
-    words = F.array(*[F.coalesce(f"w{i}", F.lit(0).cast("long")) for i in range(WORDS)]).alias("words")
-    in_order = F.sort_array(F.collect_list(F.struct("block", words)))
-    return every.agg(F.flatten(F.transform(in_order, lambda x: x["words"])).alias("words")).scalar()
-
-
-def _candidates(shapes: list[tuple[int, int]]) -> Column:
+def _candidates(shapes: Column) -> Column:
     """The canonical prefixes of (host, path) that have one of the ``shapes`` (host labels, path length)."""
-    listed = F.array(*[F.struct(F.lit(d).alias("depth"), F.lit(n).alias("reach")) for d, n in shapes])
-    fits = F.filter(listed, lambda s: (s["depth"] <= F.col("labels")) & (s["reach"] <= F.length("path")))
+    fits = F.filter(shapes, lambda s: (s["depth"] <= F.col("labels")) & (s["reach"] <= F.length("path")))
     return F.transform(
         fits,
         lambda s: F.concat(
@@ -106,18 +76,17 @@ def _candidates(shapes: list[tuple[int, int]]) -> Column:
 
 def _hits(urls: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
     """(host, path, rule): of distinct ``urls`` (host, path, candidates), the candidates that pass the filter."""
-    blocks = 1 << max(0, (max(1, n_rules) * BITS_PER_RULE // (64 * WORDS)).bit_length())
-    bloom = bloom_blocks(rules, blocks)
+    blocks = bloom.blocks_for(n_rules)
+    filled = bloom.bloom_blocks(rules, "rule", blocks)
     key = F.col("rule")
     each = urls.select("host", "path", F.explode("candidates").alias("rule"))
-    if blocks * WORDS <= MAX_HELD_WORDS:
-        own = F.slice(_words(bloom, blocks), (_block(key, blocks) * WORDS).cast("int") + 1, F.lit(WORDS))
-        each = each.withColumn("own", own)
-        passes = [F.get("own", i).bitwiseAND(_bit(key, i)) != 0 for i in range(WORDS)]
+    if blocks * bloom.WORDS <= MAX_HELD_WORDS:
+        each = each.withColumn("own", bloom.block_words(bloom.held_words(filled, blocks), key, blocks))
+        passes = bloom.all_set([F.get("own", i) for i in range(bloom.WORDS)], key)
     else:
-        each = each.withColumn("block", _block(key, blocks)).join(bloom.hint("merge"), "block")
-        passes = [F.col(f"w{i}").bitwiseAND(_bit(key, i)) != 0 for i in range(WORDS)]
-    return each.filter(reduce(and_, passes)).select("host", "path", "rule")
+        each = each.withColumn("block", bloom.block_of(key, blocks)).join(filled.hint("merge"), "block")
+        passes = bloom.all_set([F.col(f"w{i}") for i in range(bloom.WORDS)], key)
+    return each.filter(passes).select("host", "path", "rule")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -125,26 +94,29 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 
     Of the rules that fit, the longest wins; of equally long ones, that with more host labels. A URL that no rule fits
     isn't listed and gets ``default`` and a null rule. Defined results: null urls, and those without ``://``, have an
-    empty host and path; repeated rows give repeated results; with no rules all URLs get ``default``; an empty table
-    gives an empty result; other columns are ignored.
+    empty host and path and fit no rule; very long urls are judged whole; repeated rows give repeated results; with no
+    rules all URLs get ``default``; an empty table gives an empty result; other columns are ignored.
     """
     listed = common.durable(canonical_rules(rules))
-    # Numbers of labels and of characters: few, however long the list is.
-    shapes = sorted((r["depth"], r["reach"]) for r in listed.select("depth", "reach").distinct().collect())
+    n_rules, n_bytes = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("rule")), F.lit(0))).first()
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    if not shapes:
-        return split.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    n_rules = listed.count()
+    none = F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")
+    if not n_rules:
+        return split.select("*", *none)
+    # At most the labels of the longest host times the characters of the longest path, however many rules there are.
+    shapes = listed.agg(F.collect_set(F.struct("depth", "reach")).alias("shapes")).scalar()
     distinct = split.filter("host != ''").select("host", "path").distinct()
-    distinct = distinct.withColumn("labels", _labels(F.col("host"))).withColumn("candidates", _candidates(shapes))
+    distinct = distinct.withColumn("labels", _labels(F.col("host"))).withColumn("shapes", shapes)
+    distinct = distinct.withColumn("candidates", _candidates(F.col("shapes")))
     exact = listed.select("rule", "depth", "verdict")
-    exact = F.broadcast(exact) if n_rules <= MAX_BROADCAST_RULES else exact
+    exact = F.broadcast(exact) if n_bytes + ROW_BYTES * n_rules <= MAX_BROADCAST_BYTES else exact.hint("shuffle_hash")
     best = F.max(F.struct(F.length("rule").alias("size"), "depth", "rule", "verdict")).alias("best")
     found = _hits(distinct, listed, n_rules).join(exact, "rule").groupBy("host", "path").agg(best)
-    return split.join(found, ["host", "path"], "left").select(
-        "page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    # Rows without a host, which may be many, have nothing to be joined with.
+    judged = split.filter("host != ''").join(found, ["host", "path"], "left")
+    judged = judged.select("page_id", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return judged.unionByName(split.filter("host = ''").select("*", *none))
 
 
 OP4_SQL = r"""

@@ -43,9 +43,11 @@ def pages(spark, rows):
 
 
 @pytest.mark.parametrize("held", [url_filter.MAX_HELD_WORDS, 0])
-def test_urls_against_all_rules(spark, held, monkeypatch):
-    """With the filter held by every task, and with its blocks joined."""
+@pytest.mark.parametrize("most", [url_filter.MAX_BROADCAST_BYTES, 0])
+def test_urls_against_all_rules(spark, held, most, monkeypatch):
+    """With the filter held by every task, and with its blocks joined; with broadcast rules, and with shuffled ones."""
     monkeypatch.setattr(url_filter, "MAX_HELD_WORDS", held)
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_BYTES", most)
     rules = [*url_filter.RULES, ("block", "net"), ("allow", "a.net/"), ("block", "b.a.net/x"), ("allow", "org/e"), ("block", "org/e")]
     rules += [("block", f"host{i}.test/p{'q' * (i % 5)}/") for i in range(300)]
     urls = URLS + [f"http://sub.host{i}.test/p{'q' * (i % 5)}/z" for i in range(0, 400, 7)] + ["http://c.b.a.net/xy"] * 3
