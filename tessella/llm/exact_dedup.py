@@ -1,8 +1,7 @@
 """Exact de-duplication by a tree-merge of sorted digest runs.
 
-Every input partition makes the digests of its texts a run of unique records (digest, check, smallest id, rows, rows of
-that id): it sorts each batch and merges runs of like size, so a record is merged as often as the logarithm of the batches.
-The runs then meet in binomial rounds over 2**k lanes. A round covers up to ``FAN_BITS`` bits of the lane number:
+Every input partition makes the digests of its texts a run of unique records (digest, check, smallest id, rows): it sorts
+each batch and merges runs of like size, so a record is merged as often as the logarithm of the batches. The runs then meet in binomial rounds over 2**k lanes. A round covers up to ``FAN_BITS`` bits of the lane number:
 lanes that differ in these bits only exchange slices of their runs, each keeps the digests that begin with its own bits,
 and merges what it gets. After the last round, lane ``i`` holds the whole result for the digests that begin with the bits
 of ``i``. A text that a third of all rows share is one record in every run from the first level on, so no lane grows with
@@ -15,7 +14,6 @@ a merge that sees them differ stops the job rather than dropping a document.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -28,12 +26,12 @@ from . import common
 
 #: Bits of the lane number that one round settles: up to 2**FAN_BITS runs meet in a merge.
 FAN_BITS = 3
-#: Records in a row of the exchange, 64 bytes each.
+#: Records in a row of the exchange, 56 bytes each.
 CHUNK = 1 << 16
 #: A group with at least 1/HOT of all rows is joined by broadcast; there are at most HOT such groups.
 HOT = 1000
 
-RECORD = np.dtype([("digest", "S32"), ("check", "<i8"), ("id", "<i8"), ("rows", "<i8"), ("same", "<i8")])
+RECORD = np.dtype([("digest", "S32"), ("check", "<i8"), ("id", "<i8"), ("rows", "<i8")])
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -74,8 +72,6 @@ def _folded(run: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
         raise ValueError("two different texts share a SHA-256 digest")
     out["id"] = np.minimum.reduceat(run["id"], starts)
     out["rows"] = np.add.reduceat(run["rows"], starts)
-    least = np.repeat(out["id"], np.diff(np.append(starts, len(run))))
-    out["same"] = np.add.reduceat(np.where(run["id"] == least, run["same"], 0), starts)
     return out
 
 
@@ -131,7 +127,7 @@ def _leaves(step: int, bits: int, lane: int | None = None):
             new["digest"] = np.frombuffer(b"".join(batch["digest"].to_pylist()), "S32")
             new["check"] = batch["check"].to_numpy(zero_copy_only=False)
             new["id"] = batch["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            new["rows"] = new["same"] = 1
+            new["rows"] = 1
             runs.append(sorted_run(new))
             while len(runs) > 1 and len(runs[-2]) <= 2 * len(runs[-1]):
                 runs[-2:] = [merged(runs[-2:])]
@@ -160,15 +156,14 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "digest": pa.array([raw[i : i + 32] for i in range(0, len(raw), 32)], pa.binary()),
                     "keep_id": pa.array(part["id"], mask=part["id"] == NO_ID),
                     "group_size": pa.array(part["rows"]),
-                    "keep_rows": pa.array(part["same"]),
                 }
             )
 
 
 def tree_merge(digests: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
-    """(digest, keep_id, group_size, keep_rows) of each distinct digest in ``digests`` (doc_id, digest binary(32), check long).
+    """(digest, keep_id, group_size) of each distinct digest in ``digests`` (doc_id, digest binary(32), check long).
 
-    keep_id is the smallest doc_id, group_size counts all rows, keep_rows those that have the keep_id. The number of lanes is the session's number of shuffle partitions, rounded up to a power of two.
+    The number of lanes is the session's number of shuffle partitions, rounded up to a power of two.
     """
     bits = max(1, (common.shuffle_partitions(digests.sparkSession) - 1).bit_length())
     rounds = -(-bits // fan_bits)
@@ -181,7 +176,7 @@ def tree_merge(digests: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
         runs = runs.repartitionById(1 << bits, F.col("lane"))
         if i + 1 < rounds:
             runs = common.arrow_map(runs, _level(done, steps[i + 1], bits), wire)
-    return common.arrow_map(runs, _roots, "digest binary, keep_id long, group_size long, keep_rows long")
+    return common.arrow_map(runs, _roots, "digest binary, keep_id long, group_size long")
 
 
 def _plain(text: Column) -> Column:
@@ -196,11 +191,14 @@ def text_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def _groups(digests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The groups of more than one row: those that hold 1/HOT of all rows or more, and the others."""
+def _grouped(digests: DataFrame) -> DataFrame:
+    """``digests`` (digest and other columns, kept) with keep_id and group_size of their group; nulls for a single row."""
     groups = common.durable(tree_merge(digests).filter("group_size > 1"))
     total = digests.count()
-    return groups.filter(F.col("group_size") * HOT >= total), groups.filter(F.col("group_size") * HOT < total)
+    with_hot = digests.join(F.broadcast(groups.filter(F.col("group_size") * HOT >= total)), "digest", "left")
+    rest = with_hot.filter("group_size is null").select(digests.columns)
+    cold = groups.filter(F.col("group_size") * HOT < total)
+    return with_hot.filter("group_size is not null").unionByName(rest.join(cold, "digest", "left"))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,16 +210,13 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     of one doc_id are one document and share its decision, a doc_id with different texts is one for each; an empty table
     gives an empty result; other columns are ignored.
     """
-    digests = common.durable(text_digests(docs))
-    hot, cold = _groups(digests)
-    with_hot = digests.join(F.broadcast(hot), "digest", "left")  # at most HOT groups
-    rest = with_hot.filter("group_size is null").select("doc_id", "digest")
-    joined = with_hot.filter("group_size is not null").unionByName(
-        rest.join(cold, "digest", "left"), allowMissingColumns=True
-    )
+    return _judged(common.durable(text_digests(docs)))
+
+
+def _judged(digests: DataFrame) -> DataFrame:
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select(
+    return _grouped(digests).select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -237,26 +232,21 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     or where none has one; which of these isn't defined, as they differ at most in white space and other columns.
     """
     digests = common.durable(text_digests(docs.select("doc_id", "text")))
-    renamed = [F.col(c).alias(f"__{c}") for c in ("digest", "keep_id", "group_size", "keep_rows")]
-    hot, cold = (x.select(renamed) for x in _groups(digests))
-    rows = docs.withColumn("__own", F.unhex(F.sha2(_plain(F.col("text")), 256)))
-    stays = F.expr("__group_size is null or cast(doc_id as bigint) <=> __keep_id")
-
-    def kept(groups: DataFrame, left: DataFrame) -> DataFrame:
-        return left.join(groups, left["__own"] == groups["__digest"], "left").filter(stays)
-
-    # Of a hot group hardly a row goes on to the second join.
-    one = F.coalesce("__keep_rows", F.lit(1)) == 1
-    first = kept(F.broadcast(hot), rows).filter(one).select(rows.columns)
-    single = kept(cold.hint("shuffle_hash"), first).filter(one).select(docs.columns)
-    several = [x.filter("__keep_rows > 1") for x in (hot, cold)]
-    if several[0].unionByName(several[1]).isEmpty():
-        return single
-    again = reduce(DataFrame.unionByName, (
-        rows.join(x.hint(how), rows["__own"] == x["__digest"]).filter(stays).select(rows.columns)
-        for x, how in zip(several, ("broadcast", "shuffle_hash"), strict=True)
-    ))
-    return single.unionByName(again.dropDuplicates(["__own"]).select(docs.columns))
+    judged = common.durable(_judged(digests))
+    repeated = common.repeated_ids(digests)
+    copies = judged.filter("not kept and doc_id is not null").select("doc_id")
+    one = common.without_ids(docs, common.durable(copies.join(repeated, "doc_id", "left_anti")))
+    unclear = repeated.unionByName(digests.filter("doc_id is null").select("doc_id"))
+    if unclear.isEmpty():
+        return one
+    # Rows that their doc_id doesn't tell apart are judged by their own digests.
+    one = common.without_ids(one.filter("doc_id is not null"), repeated)
+    rows = docs.filter("doc_id is null").unionByName(common.with_ids(docs, repeated))
+    rows = rows.withColumn("__own", F.sha2(_plain(F.col("text")), 256)).withColumn("__id", F.col("doc_id").cast("long"))
+    stays = judged.filter("kept").select(F.col("doc_id").alias("__kept"), "text_sha256").distinct()
+    same = F.col("__own") == F.col("text_sha256")
+    kept = rows.join(stays, same & F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
+    return one.unionByName(kept.dropDuplicates(["__own"]).select(docs.columns))
 
 
 OP9_SQL = r"""
