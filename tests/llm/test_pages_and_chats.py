@@ -262,7 +262,7 @@ NASTY = [
 def test_chats_come_back(spark):
     rows = [(1, i, role, t) for i, (role, t) in enumerate((r, t) for t in NASTY for r in ("user", "assistant"))]
     rows += [(2, i, r, t) for i, (r, t) in enumerate(zip(["a:b", "###", "", None, "x\ny", "</turn>", "\\n"], NASTY[1:], strict=False))]
-    rows += [(3 + i, 0, "assistant", t) for i, t in enumerate(NASTY)] + [(None, 0, "user", None), (99, None, "user", "z"), (99, 1, "user", "z")]
+    rows += [(3 + i, 0, "assistant", t) for i, t in enumerate(NASTY)] + [(99, None, "user", "z"), (99, 1, "user", "z")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' AS formatted", "'y' AS piece")
     chats = chat.formatted_conversations(turns.repartition(4))
     assert all(r["round_trip"] for r in chats.collect())
@@ -285,6 +285,17 @@ def test_chats_come_back(spark):
             assert "".join(formatted[s["start"] : s["start"] + s["length"]] for s in spans) == learned
 
 
+def test_rows_without_a_conversation(spark, tmp_path):
+    """Each is a conversation of its own, in the SQL too."""
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (None, None, "user", None), (4, 0, "user", "###")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    found = chat.digests(chat.formatted_conversations(turns)).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in found) == [(0, 1, 0), (0, 1, 0), (0, 1, 1), (0, 1, 1), (4, 1, 0)]
+    turns.coalesce(1).write.parquet(str(tmp_path / "c"))
+    next((tmp_path / "c").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    assert_same(chat.op8_chat_format(spark, str(tmp_path)), registry.oracle_sql()["op8_chat_format"], str(tmp_path))
+
+
 def test_only_conflicting_turns_are_escaped(spark):
     rows = [(1, 0, "user", r"C:\new a<b #1"), (1, 1, "assistant", "x</turn>")]
     found = chat.formatted_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
