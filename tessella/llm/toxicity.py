@@ -5,7 +5,8 @@ The learner keeps per-coordinate sums of gradients and of their squares, so ever
 term leaves most weights at exactly zero: only the others are broadcast to score all texts.
 
 Learning is sequential and runs in one task over a bounded sample: the ``MAX_TRAINING`` labelled documents of least id
-hash, the same for any partitioning. All texts are scored whole.
+hash, and of these as many, in the same order, as have ``MAX_PLACES`` features together. The sample is the same for any
+partitioning. All texts are scored whole.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS = 20
-#: Documents that the model learns from, at most.
-MAX_TRAINING = 6000
+#: Documents that the model learns from, at most, and their distinct features (of four bytes each), summed.
+MAX_TRAINING, MAX_PLACES = 6000, 48_000_000
 #: The learner's rate, its smoothing, both penalties, and how often it sees the sample.
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 20.0, 0.1, 5
 #: How much more an example of label 1 counts than one of label 0, which is far commoner.
@@ -100,8 +101,30 @@ def _sampled(labels: DataFrame, held_out: Column, most: int) -> DataFrame:
     return usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, weight) learned from rows (doc_id, toxic, places) in the sample's order; the bias has place -1."""
+    examples, room = [], MAX_PLACES
+    for batch in batches:
+        for doc, label, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "toxic", "places")), strict=True):
+            room -= len(places) // 4
+            if room < 0:
+                break
+            examples.append((doc, places, label))
+    examples.sort(key=lambda x: (zlib.crc32(str(x[0]).encode()), x))
+    model = Ftrl()
+    for _ in range(PASSES):
+        for _, places, label in examples:
+            model.learn(np.frombuffer(places, np.int32), label)
+    found = model.result()
+    places = np.append(found.places, -1).astype(np.int32)
+    yield pa.RecordBatch.from_pydict({"place": places, "weight": np.append(found.values, found.bias)})
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MAX_TRAINING) -> Weights:
-    """Weights from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), without the ids for which ``held_out``."""
+    """Weights from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), without the ids for which ``held_out``.
+
+    An id is one example: of several texts, that whose features come first as bytes.
+    """
     sample = F.broadcast(_sampled(labels, held_out, most))  # of at most ``most`` rows of two numbers
     rows = docs.join(sample, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
@@ -112,21 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MAX_
                 [batch["doc_id"], batch["toxic"], pa.array(places, pa.binary())], names=["doc_id", "toxic", "places"]
             )
 
-    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
-        for batch in batches:
-            examples += zip(*(batch[c].to_pylist() for c in ("doc_id", "places", "toxic")), strict=True)
-        examples.sort(key=lambda x: (zlib.crc32(str(x[0]).encode()), x))
-        model = Ftrl()
-        for _ in range(PASSES):
-            for _, places, label in examples:
-                model.learn(np.frombuffer(places, np.int32), label)
-        found = model.result()
-        places = np.append(found.places, -1).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"place": places, "weight": np.append(found.values, found.bias)})
-
     hashes = common.arrow_map(rows, hashed, "doc_id long, toxic int, places binary")
-    found = common.arrow_map(hashes.repartition(1), learned, "place int, weight double").toPandas()
+    examples = hashes.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("places").alias("places"))
+    in_order = examples.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    found = common.arrow_map(in_order, _learned, "place int, weight double").toPandas()
     if found.empty:  # nothing to learn from
         return Weights(np.empty(0, np.int32), np.empty(0), 0.0)
     own = found["place"] >= 0
@@ -137,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = MAX_
 def scored(docs: DataFrame, weights: Weights) -> DataFrame:
     """(doc_id, score) of every row of ``docs`` (doc_id, text): the probability of the label 1.
 
-    Defined results: a null or empty text has no features and gets the bias alone; repeated rows get equal scores;
-    a null doc_id is passed on; an empty table gives an empty result; other columns are ignored.
+    Defined results: a null or empty text has no features and gets the bias alone; a very long text is scored whole;
+    repeated rows get equal scores, and without anything to learn from all get 0.5, which counts as toxic; a null doc_id is passed on; an empty table gives an empty result; other columns are ignored.
     """
     found = docs.sparkSession.sparkContext.broadcast(weights)
 

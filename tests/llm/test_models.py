@@ -158,6 +158,68 @@ def test_language_awkward(spark):
     assert language.predicted(helpers.empty(spark), learned).collect() == []
 
 
+def plain_log_sums(word, shares, index, longest):
+    """(log of the word's sum over segmentations, expected uses of pieces), by plain recursions in logarithms."""
+    text, n = language.MARK + word, len(word) + 1
+
+    def piece(start, size):
+        return index.get(text[start : start + size], len(index) if size == 1 else None)
+
+    def add(terms):
+        most = max(terms, default=-math.inf)
+        return most + math.log(sum(math.exp(x - most) for x in terms)) if most > -math.inf else most
+
+    arcs = [(s, s + k, i) for s in range(n) for k in range(1, min(longest, n - s) + 1) if (i := piece(s, k)) is not None]
+    forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
+    for end in range(1, n + 1):
+        forward[end] = add([forward[s] + math.log(shares[i]) for s, e, i in arcs if e == end])
+    for start in range(n - 1, -1, -1):
+        backward[start] = add([backward[e] + math.log(shares[i]) for s, e, i in arcs if s == start])
+    uses = {}
+    for s, e, i in arcs:
+        uses[i] = uses.get(i, 0) + math.exp(forward[s] + math.log(shares[i]) + backward[e] - forward[n])
+    return forward[n], uses
+
+
+def test_language_query_against_a_plain_version(spark, tmp_path):
+    """All rows of the query on a small table, learned and scored without arrays."""
+    known = {"en": "the cat and a dog", "de": "der hund und die katze", "xx": "aaaaaaaaaaaaaaaaaaaaaaaabbbbbbbb bb"}
+    rows = [(i, f"{text} {text.split()[i % 2]} {i}", lang, "s", 1) for i in range(9) for lang, text in list(known.items())[i % 3 : i % 3 + 1]]
+    rows += [(20 + i, t, None, "s", 1) for i, t in enumerate([None, "", "die the", "b" * 30, "Katze Dog", "½", "я日"])]
+    rows += [(40, "the", "en", "s", 1), (41, None, "en", "s", 1), (None, "der", "de", "s", 1)]
+    spark.createDataFrame(rows, helpers.SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    vocab = language.vocabulary(language.default_path())
+    index = {x: i for i, x in enumerate(vocab.pieces)}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts = {}
+    for i, text, lang, *_ in rows:
+        if i is not None and text and lang and not held(i):
+            for word in re.findall(r"[^\W\d_]+", text.lower()):
+                counts.setdefault(lang, {}).setdefault(word, 0)
+                counts[lang][word] += 1
+    size, shares = len(index), {}
+    for lang, words in counts.items():
+        own = [1 / size] * size + [language.UNKNOWN]
+        for _ in range(language.ITERATIONS):
+            total = [0.0] * (size + 1)
+            for word, n in words.items():
+                for i, u in plain_log_sums(word, own, index, vocab.longest)[1].items():
+                    total[i] += n * u
+            every = sum(total[:size]) + language.SMOOTHING * size
+            own = [(x + language.SMOOTHING) / every for x in total[:size]] + [language.UNKNOWN]
+        shares[lang] = own
+    found = language.op3_language_id(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    ours = {r["doc_id"]: r for r in found}
+    for i, text, *_ in rows:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        logs = {x: sum(plain_log_sums(w, shares[x], index, vocab.longest)[0] for w in words) for x in sorted(shares)}
+        best = max(logs, key=logs.get) if any(c.isalpha() for w in words for c in w) else "und"
+        score = 1 / sum(math.exp(x - logs[best]) for x in logs.values()) if best in logs else 0.0
+        assert ours[i]["lang_pred"] == best and math.isclose(ours[i]["score"], score, rel_tol=1e-6, abs_tol=1e-9)
+        assert ours[i]["held_out"] == (i is not None and held(i))
+
+
 def plain_base(text):
     words = helpers.WORD.findall(text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -280,6 +342,80 @@ def test_ftrl_against_a_plain_version():
     assert np.allclose(fast.z, [z.get(i, 0) for i in range(17)]) and fast.result().places.size < 16
 
 
+def plain_places(text, bits=toxicity.BITS):
+    """The hashed features of a text, one by one in Python's integers."""
+    low = 2**64 - 1
+    raw = (text or "").lower().encode(errors="replace")
+    hashes = [zlib.crc32(w) for w in bytes(b for b in raw if b not in toxicity.STOPS).split()]
+    first, after, skip = (int(x) for x in (toxicity._FIRST, toxicity._NEXT, toxicity._SKIP))
+    mixed = [h * first for h in hashes]
+    mixed += [a * first + b * after + 1 for a, b in zip(hashes, hashes[1:], strict=False)]
+    mixed += [a * first + b * skip + 2 for a, b in zip(hashes, hashes[2:], strict=False)]
+    return {((((x & low) ^ ((x & low) >> 29)) * int(toxicity._MIX)) & low) >> (64 - bits) for x in mixed}
+
+
+def test_toxicity_query_against_a_plain_version(spark, tmp_path):
+    """All rows of the query on a small table, learned and scored with dictionaries."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = int(rng.random() < 0.4)
+        text = " ".join(rng.choice(words, 25)) + (" you Fool! " * 3 if toxic else " thank you.") + " ".join(rng.choice(words, 5))
+        rows.append((i, text, "en", "s", 1))
+        labels.append((i, 1, toxic))
+    rows += [(500, None, "en", "s", 1), (501, "", "en", "s", 1), (None, "fool", "en", "s", 1), (7, rows[7][1], "en", "s", 1)]
+    labels += [(9, 0, 1), (9, 0, 0), (11, 1, None), (None, 1, 1), (999, 1, 1)]
+    spark.createDataFrame(rows, helpers.SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    crc = lambda i: zlib.crc32(str(i).encode())
+    known = {}
+    for i, _, toxic in labels:
+        if i is not None and toxic is not None and crc(i) % 5:
+            known[i] = max(known.get(i, 0), toxic)
+    texts = {i: t for i, t, *_ in rows if i is not None}
+    z, n, model = {}, {}, toxicity.Ftrl(bits=1)
+
+    def weight(i):
+        rate = (model.beta + math.sqrt(n.get(i, 0))) / model.alpha + model.l2
+        zi = z.get(i, 0.0)
+        if i == "bias":
+            return -zi / rate
+        return 0.0 if abs(zi) <= model.l1 else -(zi - math.copysign(model.l1, zi)) / rate
+
+    for _ in range(toxicity.PASSES):
+        for i in sorted((i for i in known if i in texts), key=crc):
+            at = [*plain_places(texts[i]), "bias"]
+            w = {x: weight(x) for x in at}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - known[i]) * (model.positive if known[i] else 1)
+            for x in at:
+                before = n.get(x, 0.0)
+                z[x] = z.get(x, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / model.alpha * w[x]
+                n[x] = before + g * g
+    found = toxicity.op6_toxicity(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    assert sum(r["predicted"] for r in found if r["held_out"]) > 15
+    for r in found:
+        text = texts[r["doc_id"]] if r["doc_id"] is not None else "fool"
+        score = 1 / (1 + math.exp(-weight("bias") - sum(weight(x) for x in plain_places(text))))
+        assert math.isclose(r["score"], score, abs_tol=1e-4)
+        assert r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (r["doc_id"] is not None and crc(r["doc_id"]) % 5 == 0)
+
+
+def test_the_sample_is_bounded_in_features(spark, monkeypatch):
+    """Beyond MAX_PLACES the documents of greater id hash aren't learned from; an id is one example."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "toxic": [1, 0, 1], "places": [np.arange(4, dtype=np.int32).tobytes()] * 3})
+    full = next(toxicity._learned(iter([batch])))
+    monkeypatch.setattr(toxicity, "MAX_PLACES", 8)
+    assert next(toxicity._learned(iter([batch]))) == next(toxicity._learned(iter([batch.slice(0, 2)]))) != full
+    docs = spark.createDataFrame([(1, "b c"), (1, "a"), (1, "a")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    one = spark.createDataFrame([(1, min("b c", "a", key=lambda t: np.unique(toxicity.features(t)).tobytes()))], "doc_id long, text string")
+    assert toxicity.train(docs, labels, F.lit(False)).bias == toxicity.train(one, labels, F.lit(False)).bias
+
+
 def test_features_are_words_neighbours_and_skips():
     one, two = toxicity.features("Alpha, beta gamma"), toxicity.features("alpha beta. GAMMA!")
     assert one.tolist() == two.tolist() and len(one) == 3 + 2 + 1
