@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+from ..storage import durable
+
 #: monotonically_increasing_id() has the partition's number above these bits and the row's number within them.
 ROW_BITS = 33
 
@@ -49,15 +53,6 @@ def top(df: DataFrame, n: int, *keys: str | Key) -> DataFrame:
     return global_sort(df, *keys).limit(n)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once, in the folder of ``spark.checkpoint.dir`` (a local one if that is unset)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri())
-    return df.checkpoint(eager=True)
-
-
 def placed(df: DataFrame) -> DataFrame:
     """``df``, kept, with ``__part`` and ``__row``: the partition of each row and its number there."""
     tagged = durable(df.withColumn("__id", F.monotonically_increasing_id()))
@@ -86,6 +81,16 @@ def with_position(df: DataFrame, *keys: str | Key, name: str = "pos") -> DataFra
     return with_ordinal(global_sort(df, *keys), name)
 
 
+def partition_scan(df: DataFrame, function: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``function`` of each partition's number and its batches in their present order: one pass, without an exchange."""
+    ship(df.sparkSession)
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(TaskContext.get().partitionId(), batches)
+
+    return df.mapInArrow(scanned, schema)
+
+
 def group_ranges(df: DataFrame, key: str, *ties: str) -> DataFrame:
     """(key, first_pos, last_pos): where each key's rows lie in the order by key and ``ties``."""
     return (

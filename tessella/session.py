@@ -13,8 +13,12 @@ PACKAGE = Path(__file__).resolve().parent
 
 
 def session(name: str = "tessella", **conf: str) -> SparkSession:
-    """A session with adaptive execution, UTC, and Arrow; ``conf`` has more settings, dots written as double underscores."""
-    builder = SparkSession.builder.appName(name)
+    """A session with adaptive execution, UTC, and checkpoints that are removed when they are no longer used.
+
+    ``conf`` has more settings, dots written as double underscores; on a cluster it, or the cluster's defaults, must name
+    the shared folder in ``spark.checkpoint.dir``.
+    """
+    builder = SparkSession.builder.appName(name).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     builder = builder.config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
