@@ -2,23 +2,29 @@
 
 Where a batch ends depends on the partitioning, so only what doesn't depend on that (sums of lengths, round trips) is
 meaningful as a result.
+
+Encoded, some batches are one value: an Arrow stream, compressed, in which every batch can carry bytes of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import io
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 from typing import Any
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from ..operators.sorting import partition_scan, with_position
 from ..session import ship
 
+#: Values in an array of ``column_arrays``.
+CHUNK = 10_000
+
 
 def _as_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -55,20 +61,74 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(mapped, schema)
 
 
-def map_with_index(
-    df: DataFrame, function: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str
-) -> DataFrame:
-    """``function`` applied to each partition's number and its Arrow batches."""
+#: ``function`` applied to each partition's number and its Arrow batches.
+map_with_index = partition_scan
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from function(TaskContext.get().partitionId(), batches)
 
-    return df.mapInArrow(mapped, schema)
+def column_arrays(df: DataFrame, by: str, column: str, size: int = CHUNK) -> DataFrame:
+    """(by, chunk, values): the column's values of each group, sorted and cut into arrays of ``size``, nulls left out.
+
+    Chunks are numbered from 0. A value's chunk follows from its place in the order by (by, column), so that no task has
+    more than it would have in a sort, whatever the size of a group.
+    """
+    rows = with_position(df.select(by, column).filter(F.col(column).isNotNull()), by, column, name="__pos")
+    first = rows.groupBy(F.col(by).alias("__by")).agg(F.min("__pos").alias("__first"))
+    chunk = F.floor((F.col("__pos") - F.col("__first")) / size).alias("chunk")
+    placed = rows.join(first, F.col(by).eqNullSafe(F.col("__by"))).select(by, chunk, column)
+    return placed.groupBy(by, "chunk").agg(F.array_sort(F.collect_list(column)).alias("values"))
+
+
+#: What a batch is encoded with: bytes for it, and the batch that goes into the stream.
+Extra = Callable[[pa.RecordBatch], tuple[bytes, pa.RecordBatch]]
+_SIDE = b"side"
+
+
+def _plain(batch: pa.RecordBatch) -> tuple[bytes, pa.RecordBatch]:
+    return b"", batch
+
 
+def encode(
+    batches: Iterable[pa.RecordBatch], columns: int | None = None, rows: int | None = None, extra: Extra = _plain
+) -> bytes:
+    """Batches as one value: of each at most the first ``columns``, of all together at most the first ``rows``.
 
-def column_arrays(df: DataFrame, by: str, column: str) -> DataFrame:
-    """(by, values): the column's values of each group as one sorted array, nulls left out. A group is one value."""
-    return df.groupBy(by).agg(F.array_sort(F.collect_list(column)).alias("values"))
+    ``extra`` splits a batch into bytes that travel with it and what is encoded. Nothing for no batches.
+    """
+    sink, writer, left = io.BytesIO(), None, rows
+    for batch in batches:
+        if left is not None and left <= 0:
+            break
+        side, batch = extra(batch)
+        batch = batch.select(batch.schema.names[:columns]).slice(0, left)
+        if writer is None:
+            writer = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        writer.write_batch(batch, custom_metadata={_SIDE: side})
+        left = None if left is None else left - batch.num_rows
+    if writer is not None:
+        writer.close()
+    return sink.getvalue()
+
+
+def decode(raw: bytes) -> Iterator[tuple[bytes, pa.RecordBatch]]:
+    """The batches of an encoded value, each with the bytes that came with it."""
+    if not raw:
+        return
+    reader = pa.ipc.open_stream(raw)
+    while True:
+        try:
+            batch, metadata = reader.read_next_batch_with_custom_metadata()
+        except StopIteration:
+            return
+        yield (metadata or {}).get(_SIDE, b""), batch
+
+
+def encoded_batches(df: DataFrame, columns: int | None = None, rows: int | None = None, extra: Extra = _plain) -> DataFrame:
+    """(part, encoded): the batches of each partition as one value, with at most ``rows`` of its rows."""
+
+    def coded(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "encoded": [encode(batches, columns, rows, extra)]})
+
+    return partition_scan(df, coded, "part int, encoded binary")
 
 
 @dataclass(frozen=True)
@@ -165,19 +225,22 @@ def collect_batches(df: DataFrame) -> list[Batch]:
     return list(map(Batch, df.toArrow().to_batches()))
 
 
-def iterate_batches(df: DataFrame) -> Iterator[Batch]:
-    """The batches one partition at a time, so that the driver holds no more than the largest partition."""
-    names = df.columns
-    for row in batch_view(df).toLocalIterator():
-        types = [pa.schema([(n, to_arrow(f.dataType))]).field(0).type for n, f in zip(names, df.schema, strict=True)]
-        columns = [pa.array(row[n], t) for n, t in zip(names, types, strict=True)]
-        yield Batch(pa.RecordBatch.from_arrays(columns, names=names))
+def collect_with_side_data(df: DataFrame, extra: Extra) -> list[tuple[bytes, Batch]]:
+    """All batches, on the driver, in the order of the partitions, each with the bytes that ``extra`` makes of it there."""
+    rows = encoded_batches(df, extra=extra).orderBy("part").select("encoded").collect()
+    return [(side, Batch(batch)) for r in rows for side, batch in decode(bytes(r["encoded"]))]
 
 
-def to_arrow(data_type) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+def iterate_batches(df: DataFrame) -> Iterator[Batch]:
+    """The batches one partition at a time, so that the driver holds no more than the largest partition, as Arrow data."""
+
+    def coded(_: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({"encoded": [encode([batch])]})
 
-    return to_arrow_type(data_type)
+    for row in partition_scan(df, coded, "encoded binary").toLocalIterator():
+        yield from (Batch(batch) for _, batch in decode(bytes(row["encoded"])))
 
 
 def take_batches(df: DataFrame, n: int) -> list[Batch]:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sorting import Key, global_sort, with_ordinal, with_position
+from .sorting import Key, global_sort, orders, with_ordinal, with_position
+
+#: Rows from the start of an order up to which places are found by a top-k; beyond, by positions in the sorted table.
+MOST_TAKEN = 100_000
 
 
 def project(df: DataFrame, *ordinals: int) -> DataFrame:
@@ -27,8 +30,15 @@ def take(df: DataFrame, n: int, *keys: str | Key) -> DataFrame:
 
 
 def take_range(df: DataFrame, start: int, stop: int, *keys: str | Key) -> DataFrame:
-    """Rows ``start`` (from 0, included) to ``stop`` (excluded) of the order, with their places ``pos`` from 1."""
-    return with_position(df, *keys).filter((F.col("pos") > start) & (F.col("pos") <= stop))
+    """Rows ``start`` (from 0, included) to ``stop`` (excluded) of the order, with their places ``pos`` from 1.
+
+    Of a range near the start each partition hands on at most ``stop`` rows, and nothing else is sorted or kept.
+    """
+    if stop > MOST_TAKEN:
+        return with_position(df, *keys).filter((F.col("pos") > start) & (F.col("pos") <= stop))
+    part = global_sort(df, *keys).offset(max(0, start)).limit(max(0, stop - max(0, start)))
+    place = F.row_number().over(Window.orderBy(*orders(keys)))  # of at most stop - start rows
+    return part.withColumn("pos", (place + max(0, start)).cast("long"))
 
 
 def concat(*frames: DataFrame) -> DataFrame:
@@ -58,7 +68,8 @@ def append_columns(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def gather(df: DataFrame, places: DataFrame, *keys: str | Key) -> DataFrame:
     """For each of ``places`` (slot, pos), the row at ``pos`` (from 1) of the order by ``keys``. Places may repeat."""
-    return places.join(with_position(df, *keys), "pos")
+    last = places.agg(F.max("pos")).first()[0]
+    return places.join(take_range(df, 0, last or 0, *keys), "pos")
 
 
 def overwrite(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -84,8 +95,9 @@ def equal(left: DataFrame, right: DataFrame) -> bool:
 
 
 def content_hash(df: DataFrame) -> Column:
-    """An aggregate that depends on the rows, not their order: the sum of their hashes modulo 2**32."""
-    return F.sum(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 32)))
+    """An aggregate that depends on the rows, not their order: the sum of their hashes, modulo 2**32, for any number of rows."""
+    small = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 32)).cast("decimal(38,0)")
+    return F.pmod(F.sum(small), F.lit(1 << 32).cast("decimal(38,0)")).cast("long")
 
 
 def empty_like(df: DataFrame) -> DataFrame:

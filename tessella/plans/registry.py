@@ -5,10 +5,8 @@ A sort's order is given as data: each row with its place ``pos`` in the order. N
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +16,8 @@ from ..operators import dedup, frames, partitioning, sampling, sorting
 from ..operators.sorting import Key
 from ..sources import writer
 from ..sources.formats import register_format
-from ..sources.reader import ColumnReader
+from ..sources.reader import ColumnReader, tolerant
+from ..storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -47,10 +46,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ColumnReader(spark).load(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that the cluster shares; local only where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="tessella-")).as_uri()
-    return f"{shared}/tessella-{uuid.uuid4().hex}"
+def _new_table(spark: SparkSession) -> tuple[str, str]:
+    """A name that no table has, and a place for it that is removed when the driver ends."""
+    return f"tessella_{uuid.uuid4().hex}", f"{scratch(spark)}/table"
+
+
+def _read_and_dropped(spark: SparkSession, name: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``read`` makes of a table outside the warehouse; its name leaves the catalog, its files stay."""
+    found = read(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 # --- scans -----------------------------------------------------------------------------------------------------------
@@ -124,11 +129,27 @@ def filter_null_safe(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 5")
 def bucket_scan_eq(spark, sf_dir):
-    name = f"tessella_bucketed_{uuid.uuid4().hex}"
+    name, path = _new_table(spark)
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    # A bare filter prunes buckets only if the scan may keep them apart.
-    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
-    return writer.write_bucketed(rows, name, _folder(spark), 8, "o_custkey").filter("o_custkey = 5")
+    writer.write_bucketed(rows, name, path, 8, "o_custkey")
+    return _read_and_dropped(spark, name, lambda x: ColumnReader(spark).table(x).filter("o_custkey = 5"))
+
+
+@query("SELECT * FROM customer")
+def catalog_table(spark, sf_dir):
+    name, path = _new_table(spark)
+    _table(spark, sf_dir, "customer").write.option("path", path).saveAsTable(name)
+    return _read_and_dropped(spark, name, ColumnReader(spark).table)
+
+
+@query("SELECT * FROM supplier")
+def scan_tolerant(spark, sf_dir):
+    """Two whole files and a damaged one, which is skipped as the reader is asked to."""
+    to = f"{scratch(spark)}/table"
+    rows = _table(spark, sf_dir, "supplier")
+    writer.write_parquet(rows.repartition(2), to)
+    spark.createDataFrame([("not Parquet",)], "value string").coalesce(1).write.mode("append").text(to)
+    return tolerant(ColumnReader(spark).schema(rows.schema)).load(to)
 
 
 @query("SELECT CAST(i AS BIGINT) AS number, CAST(i * i AS BIGINT) AS square FROM range(1000) AS r(i)")
@@ -149,14 +170,14 @@ def custom_format(spark, sf_dir):
 
 @query("SELECT * FROM customer")
 def parquet_roundtrip(spark, sf_dir):
-    to = _folder(spark)
+    to = f"{scratch(spark)}/table"
     writer.write_parquet(_table(spark, sf_dir, "customer"), to)
     return ColumnReader(spark).load(to)
 
 
 @query(
     "SELECT CAST(floor(m // 7) % 10 AS INTEGER) AS numA, CAST(m * 48271 % 2147483647 AS INTEGER) AS numB "
-    "FROM (SELECT (id + 19971128) * 48271 % 2147483647 AS m FROM range(10000) AS r(id))"
+    "FROM (SELECT (id + 4242) * 48271 % 2147483647 AS m FROM range(10000) AS r(id))"
 )
 def datagen(spark, sf_dir):
     return writer.generate(spark, 10_000)
@@ -291,7 +312,7 @@ _BOUNDS = (100, 200, 400, 800, 1200)
     "SELECT bound, CAST(min(i) AS INTEGER) AS bound_idx FROM b GROUP BY bound"
 )
 def range_bounds(spark, sf_dir):
-    return partitioning.range_bounds(_table(spark, sf_dir, "orders"), "o_custkey", 8, "o_orderkey")
+    return partitioning.range_bounds(_table(spark, sf_dir, "orders"), "o_custkey", 8)
 
 
 @query(
@@ -331,6 +352,51 @@ def distribute_by_bucket(spark, sf_dir):
     return rows.groupBy(F.spark_partition_id().alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "SELECT count(*) AS n_rows, 12 AS ranges, CAST(0 AS BIGINT) AS overlapping, true AS even FROM orders"
+)
+def sampled_range_exchange(spark, sf_dir):
+    """Rows exchanged by bounds from a weighted sample: all arrive, in disjoint ranges of less than twice the mean."""
+    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    bounds = partitioning.sampled_bounds(rows, ["o_custkey", "o_orderkey"], 12)
+    key = F.struct(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).alias("key")
+    dealt = partitioning.distribute_by_keys(rows, ["o_custkey", "o_orderkey"], bounds).select(key)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    seen = sizes.agg(
+        F.sum("n").alias("n_rows"), F.count("*").cast("int").alias("ranges"), (F.max("n") < 2 * F.avg("n")).alias("even")
+    )
+    return seen.crossJoin(partitioning.overlaps(dealt, "key"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(l_orderkey) AS BIGINT) AS total FROM lineitem")
+def partition_samples(spark, sf_dir):
+    """The weighted samples of the input partitions, of as many keys as these have, stand for all rows."""
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey").repartition(3)
+    found = partitioning.partition_sample(rows, ["l_orderkey"], 1 << 40)
+    each = found.select("part", "n", F.explode("sample").alias("x"))
+    sizes = found.agg(F.sum("n").alias("n_rows"))
+    total = each.agg(F.sum(F.col("x.key.l_orderkey") * F.col("x.weight")).alias("total"))
+    return sizes.crossJoin(total)
+
+
+@query(
+    "WITH b AS (SELECT CAST((SELECT count(*) FROM (VALUES (100), (200), (400), (800), (1200)) AS b(x) WHERE x < o_custkey) "
+    "AS INTEGER) AS bucket, o_custkey FROM orders) SELECT bucket, count(*) AS n, true AS sampled, CAST(0 AS BIGINT) AS foreign_keys "
+    "FROM b GROUP BY bucket"
+)
+def bucket_sketch(spark, sf_dir):
+    """Of each bucket its rows, whether at most 20 and some of its keys are sampled, and how many of these it lacks."""
+    rows = _table(spark, sf_dir, "orders").select("o_custkey")
+    found = partitioning.sketch(rows, "o_custkey", _BOUNDS, 20)
+    size = F.size("sample")
+    sampled = found.select(F.col("bucket").cast("int").alias("bucket"), "n", ((size > 0) & (size <= 20)).alias("sampled"), "sample")
+    each = sampled.select("bucket", F.explode("sample").alias("key"))
+    own = rows.select(partitioning.bucket_of(F.col("o_custkey"), _BOUNDS).cast("int").alias("bucket"), F.col("o_custkey").alias("key"))
+    lacking = each.join(own, ["bucket", "key"], "left_anti").groupBy("bucket").agg(F.count("*").alias("lacking"))
+    foreign = F.coalesce("lacking", F.lit(0)).cast("long").alias("foreign_keys")
+    return sampled.join(lacking, "bucket", "left").select("bucket", "n", "sampled", foreign)
+
+
 @query("SELECT CAST(0 AS BIGINT) AS overlapping")
 def range_repartition_disjoint(spark, sf_dir):
     rows = partitioning.range_partition(_table(spark, sf_dir, "orders").select("o_custkey"), 4, "o_custkey")
@@ -399,6 +465,36 @@ def reservoir_sample(spark, sf_dir):
     return sampling.reservoir(_table(spark, sf_dir, "orders"), 100, 7)
 
 
+@query("SELECT o_orderkey, true AS plausible FROM orders")
+def bernoulli_and_rest(spark, sf_dir):
+    """The sample and the rows outside it are the table again; its size is within six deviations of a tenth."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey")
+    found = sampling.bernoulli(rows, 0.1, 7)
+    n, total = found.agg(F.count("*")).scalar(), rows.agg(F.count("*")).scalar()
+    every = found.unionAll(rows.join(found, "o_orderkey", "left_anti"))
+    return every.select("o_orderkey", (F.abs(n - total * 0.1) <= 6 * F.sqrt(total * 0.09)).alias("plausible"))
+
+
+@query("SELECT o_orderkey, least(100, count(*) OVER ()) AS sampled FROM orders")
+def reservoir_and_rest(spark, sf_dir):
+    """The sample and the rows outside it are the table again; its size is exact."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey")
+    found = sampling.reservoir(rows, 100, 7)
+    every = found.unionAll(rows.join(found, "o_orderkey", "left_anti"))
+    return every.select("o_orderkey", found.agg(F.count("*")).scalar().alias("sampled"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS pos, true AS contiguous FROM orders")
+def slice_and_rest(spark, sf_dir):
+    """The slice and the rows outside it are the table again; its places have no gap."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey")
+    found = sampling.random_slice(rows, 7, "o_orderkey")
+    placed = sorting.with_position(rows, "o_orderkey")
+    own = placed.join(found, "o_orderkey")
+    gaps = own.agg((F.coalesce(F.max("pos") - F.min("pos") + 1, F.lit(0)) == F.count("*")).alias("whole")).scalar()
+    return own.unionAll(placed.join(found, "o_orderkey", "left_anti")).select("*", gaps.alias("contiguous"))
+
+
 @query("SELECT least(100, count(*)) AS sampled, count(*) AS total FROM orders")
 def sample_and_count(spark, sf_dir):
     return sampling.reservoir_and_count(_table(spark, sf_dir, "orders"), 100, 7)
@@ -515,9 +611,27 @@ def any_null(spark, sf_dir):
 # --- batches ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderstatus, list(o_orderkey ORDER BY o_orderkey) AS values FROM orders GROUP BY o_orderstatus")
+@query(
+    "SELECT o_orderstatus, chunk, list(o_orderkey ORDER BY o_orderkey) AS values FROM (SELECT o_orderstatus, o_orderkey, "
+    "(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 1000 AS chunk FROM orders) "
+    "GROUP BY o_orderstatus, chunk"
+)
 def columns_from_batches(spark, sf_dir):
-    return batches.column_arrays(_table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey")
+    return batches.column_arrays(_table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey", 1000)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= 700")
+def encoded_batches(spark, sf_dir):
+    """Batches encoded with caps on columns and rows, and decoded again."""
+    rows = sorting.global_sort(_table(spark, sf_dir, "orders"), "o_orderkey").limit(2000).coalesce(1)
+    coded = batches.encoded_batches(rows, columns=2, rows=700)
+
+    def decoded(found):
+        for batch in found:
+            for raw in batch["encoded"].to_pylist():
+                yield from (x for _, x in batches.decode(raw))
+
+    return coded.mapInArrow(decoded, "o_orderkey long, o_custkey long")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders")

@@ -1,4 +1,4 @@
-"""A reader façade over Spark's sources: format, schema and options, then one or more paths.
+"""A reader façade over Spark's sources: format, schema and options, then one or more paths, or a table of a catalog.
 
 Pushdown, pruning, splitting, bucketing and the handling of corrupt or missing files are Spark's own.
 """
@@ -47,6 +47,21 @@ class ColumnReader:
         return reader.load(list(paths)) if paths else reader.load()
 
 
+    def version(self, version: int | str) -> ColumnReader:
+        """The state of a catalog's table with this version; catalogs that keep no versions refuse it."""
+        return self.option("versionAsOf", version)
+
+    def timestamp(self, timestamp: str) -> ColumnReader:
+        """The state of a catalog's table at this time; catalogs that keep no versions refuse it."""
+        return self.option("timestampAsOf", timestamp)
+
+    def table(self, name: str) -> DataFrame:
+        """Reads a table of a catalog, ``name`` or ``catalog.schema.name``, with the options set so far."""
+        if self._schema is not None:
+            raise ValueError("a catalog's table has its own schema")
+        return self._spark.read.options(**self._options).table(name)
+
+
 def tolerant(reader: ColumnReader) -> ColumnReader:
     """Skips files that are corrupt, or that vanish between listing and reading."""
     return reader.options(ignoreCorruptFiles=True, ignoreMissingFiles=True)

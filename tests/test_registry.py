@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from pathlib import Path
 
 import pytest
@@ -42,6 +43,22 @@ def test_samples(spark, sf_dir):
         assert cut == whole[at : at + len(cut)]
 
 
+def test_entry_without_what_the_subpackage_needs(monkeypatch):
+    """A module that can't be imported takes no other query with it."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n.startswith("tessella.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    for name in ("xxhash", "tessella.llm.common"):
+        monkeypatch.setitem(sys.modules, name, None)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert __spark_entry__.queries().keys() == registry.queries().keys()
+        assert __spark_entry__.oracle_sql() == registry.oracle_sql()
+
+
 def test_entry(spark):
     import __spark_entry__
 

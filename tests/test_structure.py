@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import math
+import random
 
 import pyarrow as pa
 import pytest
@@ -29,12 +31,54 @@ def test_bucket_is_the_left_bisection(spark, n):
 
 def test_bounds(spark):
     df = spark.createDataFrame([(x // 3, x) for x in range(100)], "k int, i int")
-    found = {r["bound_idx"]: r["bound"] for r in partitioning.range_bounds(df, "k", 4, "i").collect()}
+    found = {r["bound_idx"]: r["bound"] for r in partitioning.range_bounds(df, "k", 4).collect()}
     assert found == {1: 24 // 3, 2: 49 // 3, 3: 74 // 3}
     same = spark.createDataFrame([(1, i) for i in range(10)], "k int, i int")
-    assert [tuple(r) for r in partitioning.range_bounds(same, "k", 4, "i").select("bound_idx", "bound").collect()] == [(1, 1)]
+    assert [tuple(r) for r in partitioning.range_bounds(same, "k", 4).select("bound_idx", "bound").collect()] == [(1, 1)]
     empty = spark.createDataFrame([], "k int, i int")
-    assert partitioning.range_bounds(empty, "k", 4, "i").collect() == []
+    assert partitioning.range_bounds(empty, "k", 4).collect() == []
+    assert partitioning.range_bounds(df, "k", 1).collect() == []
+
+
+@pytest.mark.parametrize(("n", "parts"), [(7, 3), (50, 9), (400, 64), (5, 30)])
+def test_bounds_against_a_plain_version(spark, n, parts):
+    rng = random.Random(n)
+    keys = sorted(rng.choice([rng.randrange(40), 7]) for _ in range(n))
+    expected = {}
+    for i in range(1, parts):
+        expected.setdefault(keys[-(-i * n // parts) - 1], i)
+    df = spark.createDataFrame([(k,) for k in rng.sample(keys, n)], "k int").repartition(6)
+    assert {r["bound"]: r["bound_idx"] for r in partitioning.range_bounds(df, "k", parts).collect()} == expected
+
+
+def test_weighted_bounds():
+    even = [((i,), 1.0) for i in range(100)]
+    assert partitioning.weighted_bounds(even, 4) == [(24,), (49,), (74,)]
+    assert partitioning.weighted_bounds([((1,), 90.0), ((2,), 5.0), ((3,), 5.0)], 10) == [(1,)]
+    assert partitioning.weighted_bounds([((1,), 3.0), ((1,), 2.0)], 4) == [] == partitioning.weighted_bounds([], 4)
+    assert partitioning.weighted_bounds([((float("nan"),), 1.0), ((1.0,), 1.0)], 2) == [(1.0,)]
+
+
+def test_uneven_partitions_are_sampled_again(spark):
+    """One input partition has nearly all rows: the ranges still come out alike."""
+    few = spark.range(0, 70, 1, 7).withColumn("k", F.col("id") + 1_000_000)
+    df = few.unionAll(spark.range(0, 60_000, 1, 1).withColumn("k", F.col("id")))
+    bounds = partitioning.sampled_bounds(df, ["k"], 6)
+    sizes = [r["n"] for r in partitioning.histogram(df, "k", [b[0] for b in bounds]).collect()]
+    assert len(sizes) == 6 and max(sizes) < 2 * sum(sizes) / 6
+    sample = partitioning.partition_sample(df, ["k"], 10).collect()
+    assert len(sample) == 8 and all(sum(x["weight"] for x in r["sample"]) == r["n"] for r in sample)
+    assert all(0 < len(r["sample"]) <= 10 for r in sample)
+
+
+def test_bucket_by_several_keys(spark):
+    rng = random.Random(2)
+    bounds = sorted({(rng.choice("abc"), rng.randrange(20)) for _ in range(23)})
+    rows = [(rng.choice("abcd"), rng.randrange(21)) for _ in range(300)] + [(None, 3), ("b", None)]
+    df = spark.createDataFrame(rows, "s string, i int")
+    found = df.select("s", "i", partitioning.bucket_of_keys([F.col("s"), F.col("i")], bounds).alias("b")).collect()
+    order = lambda row: [(x is not None, x) for x in row]
+    assert all(r["b"] == sum(order(b) < order(r[:2]) for b in bounds) for r in found)
 
 
 def test_sampled_bounds_and_overlaps(spark):
@@ -56,6 +100,68 @@ def test_adjacent_unique_across_partitions(spark):
     assert dedup.adjacent_unique(spark.createDataFrame([], "i int, v int"), "v", "i").collect() == []
 
 
+@pytest.mark.parametrize(
+    ("kind", "values_", "expected"),
+    [
+        ("double", [math.nan, math.nan, None, 1.0, math.nan, -0.0, 0.0], [0, 2, 3, 4, 5]),
+        ("string", ["a", "a", "", None, None, "b"], [0, 2, 3, 5]),
+        ("array<int>", [[1], [1], [], None, [2], [2]], [0, 2, 3, 4]),
+        ("boolean", [True, True, False, None, None], [0, 2, 3]),
+    ],
+)
+def test_adjacent_unique_of_types(spark, kind, values_, expected):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values_)], f"i int, v {kind}")
+    for parts in (1, 3):
+        assert sorted(values(dedup.adjacent_unique(df.repartition(parts), "v", "i"))) == expected
+
+
+def test_ranges_and_gathering_do_not_sort_the_whole_table(spark, monkeypatch):
+    df = spark.range(500).withColumn("k", (F.col("id") * 7919 % 500).cast("int")).repartition(6)
+    found = frames.take_range(df, 50, 80, "k")
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+    near = [tuple(r) for r in found.select("k", "pos").collect()]
+    assert sorted(near) == [(k, k + 1) for k in range(50, 80)]
+    places = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 400), (4, 900)], "slot int, pos long")
+    picked = sorted(tuple(r) for r in frames.gather(df, places, "k").select("slot", "k").collect())
+    assert picked == [(0, 6), (1, 2), (2, 6), (3, 399)]
+    monkeypatch.setattr(frames, "MOST_TAKEN", 10)
+    assert sorted(tuple(r) for r in frames.take_range(df, 50, 80, "k").select("k", "pos").collect()) == sorted(near)
+    assert sorted(tuple(r) for r in frames.gather(df, places, "k").select("slot", "k").collect()) == picked
+    assert frames.take_range(df, 5, 5, "k").count() == 0 == frames.gather(df, places.limit(0), "k").count()
+
+
+def test_content_hash_of_very_many_rows(spark):
+    """The sum passes the range of a long, which raises in ANSI mode."""
+    df = spark.createDataFrame([(i,) for i in range(40)], "x long")
+    small = [r[0] % (1 << 32) for r in df.select(F.xxhash64("x")).collect()]
+    assert df.agg(frames.content_hash(df)).first()[0] == sum(small) % (1 << 32)
+    large = spark.range(3).select(F.lit((1 << 62) + 5).cast("decimal(38,0)").alias("x"))
+    assert large.agg(F.pmod(F.sum("x"), F.lit(1 << 32).cast("decimal(38,0)")).cast("long")).first()[0] == 15
+
+
+def test_column_arrays_are_cut(spark):
+    rows = [("a", i) for i in range(25)] + [("b", 5), ("b", None), (None, 3), (None, 1)]
+    df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "g string, v int").repartition(4)
+    found = {(r["g"], r["chunk"]): r["values"] for r in batches.column_arrays(df, "g", "v", 10).collect()}
+    assert found == {
+        ("a", 0): list(range(10)), ("a", 1): list(range(10, 20)), ("a", 2): list(range(20, 25)), ("b", 0): [5], (None, 0): [1, 3],
+    }
+
+
+def test_encoding_and_side_data(spark):
+    first, second = (pa.record_batch({"a": [i, i + 1], "b": ["x", None], "c": [1.0, 2.0]}) for i in (0, 10))
+    assert batches.encode([]) == b"" and list(batches.decode(b"")) == []
+    assert [(s, b) for s, b in batches.decode(batches.encode([first, second]))] == [(b"", first), (b"", second)]
+    capped = [b.to_pydict() for _, b in batches.decode(batches.encode([first, second], columns=2, rows=3))]
+    assert capped == [{"a": [0, 1], "b": ["x", None]}, {"a": [10], "b": ["x"]}]
+    marked = batches.encode([first, second], extra=lambda b: (bytes([b.num_rows]), b.slice(1)))
+    assert [(s, b.num_rows) for s, b in batches.decode(marked)] == [(b"\2", 1), (b"\2", 1)]
+    df = spark.range(30).repartition(3).sortWithinPartitions("id")
+    found = batches.collect_with_side_data(df, lambda b: (str(b.num_rows).encode(), b))
+    assert [int(s) for s, b in found] == [b.num_rows for _, b in found] and sum(b.num_rows for _, b in found) == 30
+
+
 def test_first_per_key(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 3, "b"), (2, 9, "c"), (None, 1, "d")], "k int, o int, x string")
     assert sorted(values(dedup.first_per_key(df, ["k"], "o"), 2)) == ["b", "c", "d"]
@@ -144,11 +250,52 @@ def test_generated_table(spark):
     assert rows == writer.generate(spark, 2000).collect()
 
 
+def test_catalog_tables(spark, tmp_path):
+    name = "tessella_named"
+    spark.range(5).write.option("path", str(tmp_path / "t")).saveAsTable(name)
+    assert sorted(values(ColumnReader(spark).table(name))) == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="own schema"):
+        ColumnReader(spark).schema("id long").table(name)
+    for reader in (ColumnReader(spark).version(1), ColumnReader(spark).timestamp("2024-01-01 00:00:00")):
+        with pytest.raises(Exception, match="TIME_TRAVEL"):
+            reader.table(name).collect()
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tessella import storage
+
+    folder = storage.scratch(spark)
+    assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))
+    spark.range(3).write.parquet(f"{folder}/x")
+    storage.remove(spark, f"{folder}/x")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{folder}/x")
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        storage.shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from tessella import __main__ as cli
+
+    path = str(tmp_path / "numbers")
+    assert cli.main(["generate", "-a", "500", "-p", path]) == 0 and spark.read.parquet(path).count() == 500
+    assert cli.main(["generate", "-a", "500", "-p", path]) == 1
+    assert cli.main(["time", "-d", path, "-c", "0", "-r", "2", "--log", str(tmp_path / "log")]) == 0
+    assert (tmp_path / "log").read_text().strip() in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["time", "-d", path, "-f", path])
+
+
 def test_bucket_pruning(spark, tmp_path):
-    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
     table = writer.write_bucketed(spark.range(100), "pruned", str(tmp_path / "b"), 8, "id")
-    assert "SelectedBucketsCount: 1 out of 8" in table.filter("id = 5")._jdf.queryExecution().toString()
-    assert table.filter("id = 5").count() == 1
+    found = table.filter("id = 5")
+    assert found.count() == 1 and found.rdd.getNumPartitions() == 1 < table.rdd.getNumPartitions()
+    joined = table.join(table.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).hint("merge")
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stream(spark, tmp_path):
