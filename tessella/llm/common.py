@@ -3,47 +3,36 @@
 from __future__ import annotations
 
 import re
-import tempfile
-from collections.abc import Callable
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import durable  # noqa: F401  (operators take it from here)
 from . import bloom
 
 #: The white space that separates words in every contract of this subpackage, for Java and Python patterns.
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows that a Python function gets at a time.
+ROWS = 256
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which the whole cluster shares.
+def arrow_map(df: DataFrame, function: Callable, schema, rows: int = ROWS) -> DataFrame:
+    """``mapInArrow`` by workers that can import this package; ``function`` gets batches of at most ``rows`` rows.
 
-    Only a session without that setting, as in tests, gets a local folder.
+    What it makes of a batch in Python is several times as large as the batch, so that small ones keep workers small.
     """
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(configured or Path(tempfile.mkdtemp(prefix="checkpoints-")).as_uri())
-    return configured or context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared folder, so that they outlive lost executors.
-
-    Their lineage ends here.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    ship(df.sparkSession)
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
-def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` by workers that can import this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(mapped, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -28,6 +28,8 @@ from . import common
 FAN_BITS = 3
 #: Records in a row of the exchange, 56 bytes each.
 CHUNK = 1 << 16
+#: Digests of a run before it is merged.
+BATCH = 10_000
 #: A group with at least 1/HOT of all rows is joined by broadcast; there are at most HOT such groups.
 HOT = 1000
 
@@ -169,7 +171,7 @@ def tree_merge(digests: DataFrame, fan_bits: int = FAN_BITS) -> DataFrame:
     rounds = -(-bits // fan_bits)
     steps = [bits // rounds + (i < bits % rounds) for i in range(rounds)]
     wire = "lane int, run binary"
-    runs = common.arrow_map(digests.select("doc_id", "digest", "check"), _leaves(steps[0], bits), wire)
+    runs = common.arrow_map(digests.select("doc_id", "digest", "check"), _leaves(steps[0], bits), wire, BATCH)
     done = 0
     for i, step in enumerate(steps):
         done += step

@@ -510,10 +510,8 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = pa.array([visible_text(x) for x in part["html"].to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([part["page_id"], texts], names=["page_id", "text"])
+            texts = pa.array([visible_text(x) for x in batch["html"].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["page_id"], texts], names=["page_id", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
     return common.arrow_map(rows, rendered, "page_id long, text string")

@@ -34,11 +34,9 @@ SMOOTHING, UNKNOWN = 0.05, 1e-7
 #: Words with more letters are rescaled every RESCALED letters, lest their products underflow.
 LONG, RESCALED = 20, 8
 #: Words whose probabilities a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Words and letters counted in a task before they are handed on.
 HELD, HELD_LETTERS = 200_000, 16_000_000
-#: Texts scored at a time.
-BATCH = 256
 #: Least posterior of a document that ``accepted`` keeps.
 LEAST_SCORE = 0.5
 UND = "und"
@@ -283,7 +281,7 @@ def train(docs: DataFrame, held_out: Column, path: str, most: int = MAX_TRAINING
                 {"piece": piece.astype(np.int32), "lang": lang.astype(np.int32), "uses": uses[piece, lang]}
             )
 
-        partial = common.arrow_map(words, expected, "piece int, lang int, uses double")
+        partial = common.arrow_map(words, expected, "piece int, lang int, uses double", 10_000)
         total = partial.groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toPandas()
         uses = np.zeros_like(shares)
         uses[total["piece"], total["lang"]] = total["uses"]
@@ -302,13 +300,11 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                lang, score = zip(*found.value.predict(part["text"].to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
-                )
+            lang, score = zip(*found.value.predict(batch["text"].to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                names=["doc_id", "lang_pred", "score"],
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return common.arrow_map(rows, judged, "doc_id long, lang_pred string, score double")
@@ -320,10 +316,8 @@ def accepted(docs: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataF
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                kept = [lang != UND and score >= least for lang, score in found.value.predict(part["text"].to_pylist())]
-                yield part.filter(pa.array(kept, pa.bool_()))
+            kept = [lang != UND and score >= least for lang, score in found.value.predict(batch["text"].to_pylist())]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return common.arrow_map(docs, filtered, docs.schema)
 

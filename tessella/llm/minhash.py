@@ -163,7 +163,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, p: Plan) -> DataFrame:
             equal = (sides[0] == sides[1]).reshape(batch.num_rows, p.hashes).sum(1) >= least
             yield batch.select(["a", "b"]).filter(pa.array(equal))
 
-    return common.arrow_map(_sides(pairs, classes, "signature"), compared, "a long, b long")
+    return common.arrow_map(_sides(pairs, classes, "signature"), compared, "a long, b long", 16 * common.ROWS)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, p: Plan) -> DataFrame:
@@ -248,7 +248,8 @@ def _dealt(members: DataFrame, size: Column) -> DataFrame:
     """
     probe = (F.col("component") != F.col("major")).cast("int")
     blocks = members.groupBy("key").agg(_blocks(F.lit(1), size).alias("t_blocks"), _blocks(probe, size * probe).alias("p_blocks"))
-    rows = members.join(blocks.filter("p_blocks > 0"), "key")
+    # Kept, so that the join is one of two tables, which can split a heavy bucket.
+    rows = members.join(common.durable(blocks.filter("p_blocks > 0")), "key")
 
     def side(own: str, other: str, target: bool, source: DataFrame) -> DataFrame:
         each = F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block")
@@ -272,7 +273,7 @@ def _residual_links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, com
     labelled = labelled.withColumn("component", F.coalesce("component", "rep"))
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("major"))
-    open_ = labelled.join(split.filter("parts > 1").select("key", "major"), "key")
+    open_ = labelled.join(common.durable(split.filter("parts > 1").select("key", "major")), "key")
     # Signatures first: most members have no partner left.
     members = common.durable(open_.join(classes.select("rep", "digest", "n", "signature"), ["rep", "digest"]))
 

@@ -32,8 +32,6 @@ OPEN = 64
 CUT_GAP = 16
 #: Partitions whose open windows are merged by one task: at most OPEN * SIZE * 4 bytes of ids from each.
 MERGED = 16
-#: Texts encoded at a time.
-BATCH = 256
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
@@ -124,13 +122,11 @@ def _first_pass(path: str, size: int, open_windows: int):
         windows = Windows(out, size, open_windows)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                rows = batch.slice(at, BATCH)
-                texts = [x or "" for x in rows["text"].to_pylist()]
-                for doc, ids in zip(rows["doc_id"].to_pylist(), encode(texts), strict=True):
-                    ids += end
-                    windows.add((doc, 0, ids, len(ids) // 4))
-                yield _with_ids(out.taken(), None, part)
+            texts = [x or "" for x in batch["text"].to_pylist()]
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(texts), strict=True):
+                ids += end
+                windows.add((doc, 0, ids, len(ids) // 4))
+            yield _with_ids(out.taken(), None, part)
         for fill, name in windows.fills:
             out.emit(windows.held[name])
         ids = [piece[2] for _, name in windows.fills for piece in windows.held[name]]

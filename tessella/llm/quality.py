@@ -34,7 +34,7 @@ MIN_CHARS, MIN_WORDS = 200, 50
 #: a sample from its own source falls with the root of its size.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.28, 0.4, 1.2
 #: Words counted in a task before they are handed on.
-HELD = 400_000
+HELD = 150_000
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "other letter", "digit", "blank", "stop", "symbol", "other")
@@ -269,12 +269,8 @@ def quality(docs: DataFrame, refs: References | None = None) -> DataFrame:
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                columns = zip(*(judge(x, found.value) for x in part["text"].to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], *map(pa.array, map(list, columns))], names=["doc_id", *names]
-                )
+            columns = zip(*(judge(x, found.value) for x in batch["text"].to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, map(list, columns))], names=["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return common.arrow_map(rows, judged, f"doc_id long, {SCHEMA}")

@@ -31,11 +31,9 @@ from . import common
 from .lookup import KeyTable
 
 #: Words whose ids a worker remembers, and the longest (in characters) that it does.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Characters of a word beyond which it is merged in several places in each round, while one in LITTLE symbols merges.
 LONG, LITTLE = 200, 64
-#: Texts encoded at a time.
-BATCH = 256
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -322,13 +320,11 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
         model = pieces(path)
         begin, end = (i.to_bytes(4, "little") for i in (model.begin, model.end))
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                ids = [begin + x + end for x in model.encode([x or "" for x in part["text"].to_pylist()])]
-                texts = [model.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
-                )
+            ids = [begin + x + end for x in model.encode([x or "" for x in batch["text"].to_pylist()])]
+            texts = [model.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return common.arrow_map(rows, coded, "doc_id long, ids binary, decoded string")

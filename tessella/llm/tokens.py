@@ -10,7 +10,7 @@ from functools import lru_cache
 from pathlib import Path
 
 #: Words whose ids a worker remembers, and the longest (in characters) that it does.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: A space after white space: such a text isn't cut at every space.
 RUN = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S) ")
