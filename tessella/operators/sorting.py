@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from ..session import ship
 from ..storage import durable
 
 #: monotonically_increasing_id() has the partition's number above these bits and the row's number within them.
 ROW_BITS = 33
+LEAST_INT = -(1 << 31)
 
 
 @dataclass(frozen=True)
@@ -38,14 +40,42 @@ def orders(keys: tuple[str | Key, ...]) -> list[Column]:
     return [(k if isinstance(k, Key) else Key(k)).order() for k in keys]
 
 
+def packed_first(df: DataFrame, keys: tuple[str | Key, ...]) -> list[Column]:
+    """The orders of ``keys``, behind one of the first two as one long if both are integers of at most 32 bits.
+
+    Sorts compare the first eight bytes of the first order and look at the row only where these are equal, which is nearly
+    always so if the first key has few values. The long never contradicts the keys' own order; where it is equal, as nulls
+    equal the least or the greatest integer, the keys decide.
+    """
+    plain = [k if isinstance(k, Key) else Key(k) for k in keys]
+    columns = [F.col(k.column) if isinstance(k.column, str) else k.column for k in plain[:2]]
+    types = [f.dataType for f in df.select(*[c.alias(f"k{i}") for i, c in enumerate(columns)]).schema]
+    if len(plain) < 2 or not all(isinstance(t, (ByteType, ShortType, IntegerType)) for t in types):
+        return orders(keys)
+
+    def code(key: Key, column: Column) -> Column:
+        """0 to 2**32 - 1 in the order of the key, nulls apart."""
+        number = column.cast("long")
+        return F.lit(LEAST_INT - 1 + (1 << 32)) - number if key.descending else number - LEAST_INT
+
+    def end(key: Key, least: int, most: int) -> Column:
+        first = not key.descending if key.nulls_first is None else key.nulls_first
+        return F.lit(least if first else most).cast("long")
+
+    (a, b), (x, y) = plain[:2], columns
+    low = F.coalesce(code(b, y), end(b, 0, (1 << 32) - 1))
+    both = F.shiftleft(code(a, x) + LEAST_INT, 32).bitwiseOR(low)
+    return [F.coalesce(both, end(a, -(1 << 63), (1 << 63) - 1)).asc(), *orders(keys)]
+
+
 def global_sort(df: DataFrame, *keys: str | Key) -> DataFrame:
     """All rows in order: a sampled range exchange, then a spilling sort of each partition."""
-    return df.orderBy(*orders(keys))
+    return df.orderBy(*packed_first(df, keys))
 
 
 def local_sort(df: DataFrame, *keys: str | Key) -> DataFrame:
     """Each partition in order, without an exchange."""
-    return df.sortWithinPartitions(*orders(keys))
+    return df.sortWithinPartitions(*packed_first(df, keys))
 
 
 def top(df: DataFrame, n: int, *keys: str | Key) -> DataFrame:

@@ -36,6 +36,26 @@ def test_null_order_and_extremes(spark, descending, first):
     assert [x[2] for x in ours] == list(range(1, len(rows) + 1))
 
 
+@pytest.mark.parametrize("kinds", [("int", "int"), ("tinyint", "int"), ("int", "smallint"), ("int", "bigint"), ("string", "int")])
+def test_two_keys_of_all_directions(spark, kinds):
+    """Extremes, nulls and ties, with both orders of each key and both places of nulls; the third key breaks ties."""
+    small = {"tinyint": [-128, 127, 0], "smallint": [-32768, 32767, 0], "string": ["", "a", "b"]}
+    pools = [[None, *small.get(k, [LOW, HIGH, 0, -1])] for k in kinds]
+    rng = random.Random(1)
+    rows = [(rng.choice(pools[0]), rng.choice(pools[1]), i) for i in range(60)]
+    df = spark.createDataFrame(rows, f"a {kinds[0]}, b {kinds[1]}, i int").repartition(3)
+    for down, first in ((False, True), (True, False), (True, True), (False, False)):
+        keys = (Key("a", down, first), Key(F.col("b"), not down, first), "i")
+
+        expected = sorted(rows, key=lambda r: r[2])
+        for at, reverse in ((1, not down), (0, down)):  # stable sorts, the last key first
+            known = sorted((r for r in expected if r[at] is not None), key=lambda r: r[at], reverse=reverse)
+            nulls = [r for r in expected if r[at] is None]
+            expected = nulls + known if first else known + nulls
+        assert [tuple(r) for r in sorting.global_sort(df, *keys).collect()] == expected
+        assert [tuple(r) for r in sorting.local_sort(df.coalesce(1), *keys).collect()] == expected
+
+
 def test_equal_null_keys_go_on_to_the_next_key(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), (1, 0)], "a int, b int")
     assert [tuple(r) for r in sorting.global_sort(df, "a", "b").collect()] == [(None, 1), (None, 2), (1, 0)]
