@@ -42,6 +42,8 @@ def told_languages(model, texts):
 
 def test_run_is_its_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dumb = [(1_000_000 + i, t, "en", "s", 1) for i, t in enumerate([None, "", "12 3", "½ ...", " "])]  # no language can be told
+    docs = docs.unionByName(spark.createDataFrame(dumb, helpers.SCHEMA))
     kept = [docs.count()]
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
