@@ -240,6 +240,9 @@ def cross_links(p: Plan, cell: Cell) -> list[tuple[int, int]]:
     return links
 
 
+CELL = ["key", "t_block", "p_block"]
+
+
 def _dealt(members: DataFrame, size: Column) -> DataFrame:
     """The rows of cells: ``members`` (key, rep, digest, component, major, ...) as probes and as targets.
 
@@ -256,16 +259,14 @@ def _dealt(members: DataFrame, size: Column) -> DataFrame:
         block = F.pmod(F.xxhash64("rep", "digest"), F.col(f"{own}_blocks")).cast("int").alias(f"{own}_block")
         return source.select(*members.columns, F.lit(target).alias("target"), block, each)
 
-    return side("t", "p", True, rows).unionByName(side("p", "t", False, rows.filter("component != major")))
+    # Dealt by cell: tables that are dealt by key already would leave all cells of a bucket to one task.
+    return side("t", "p", True, rows).unionByName(side("p", "t", False, rows.filter("component != major"))).repartition(*CELL)
 
 
 def _blocks(rows: Column, size: Column) -> Column:
     return F.ceil(F.greatest(F.sum(rows) / BLOCK_ROWS, F.sum(size) / BLOCK_BYTES)).cast("int")
 
 
-CELL = ["key", "t_block", "p_block"]
-
-
 def _residual_links(docs: DataFrame, buckets: DataFrame, classes: DataFrame, comps: DataFrame, p: Plan, repeats: bool) -> DataFrame:
     """(a, b): links between members of one bucket that ``comps`` (node, component) has apart."""
     node = comps.select(F.col("node").alias("rep"), "component")
