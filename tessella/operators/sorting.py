@@ -83,6 +83,13 @@ def top(df: DataFrame, n: int, *keys: str | Key) -> DataFrame:
     return global_sort(df, *keys).limit(n)
 
 
+def local_positions(df: DataFrame) -> DataFrame:
+    """``df`` with ``part`` and ``pos``: the partition of each row, and its place there from 1 in the present order."""
+    number = F.monotonically_increasing_id()
+    part, row = F.shiftright(number, ROW_BITS).cast("int"), number.bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1
+    return df.select("*", part.alias("part"), row.alias("pos"))
+
+
 def placed(df: DataFrame) -> DataFrame:
     """``df``, kept, with ``__part`` and ``__row``: the partition of each row and its number there."""
     tagged = durable(df.withColumn("__id", F.monotonically_increasing_id()))

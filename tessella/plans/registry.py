@@ -273,6 +273,17 @@ def sort_local(spark, sf_dir):
     return sorting.inversions(sorting.local_sort(rows, "o_custkey"), "o_custkey")
 
 
+@query(
+    "SELECT CAST(o_orderkey % 4 AS INTEGER) AS part, o_custkey, o_orderkey, "
+    "row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_custkey DESC, o_orderkey) AS pos FROM orders"
+)
+def sort_local_places(spark, sf_dir):
+    """Rows dealt to four partitions by key, each with its place in its own partition."""
+    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    dealt = rows.repartitionById(4, (F.col("o_orderkey") % 4).cast("int"))
+    return sorting.local_positions(sorting.local_sort(dealt, Key("o_custkey", True), "o_orderkey"))
+
+
 @query(
     "SELECT o_orderstatus, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT o_orderstatus, "
     "row_number() OVER (ORDER BY o_orderstatus, o_orderkey) AS pos FROM orders) GROUP BY o_orderstatus"
@@ -587,6 +598,17 @@ def frame_equal(spark, sf_dir):
     return frames.differences(rows, rows.repartition(5).select("*"))
 
 
+@query(
+    "WITH a AS (SELECT o_orderstatus, o_custkey % 7 AS k FROM orders), "
+    "b AS (SELECT o_orderstatus, o_custkey % 7 AS k FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT 'X', 1) "
+    "SELECT (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) + (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a)) AS differences"
+)
+def frame_differences(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_custkey") % 7).alias("k"), "o_orderkey")
+    other = rows.filter("o_orderkey % 3 > 0").drop("o_orderkey").unionAll(spark.sql("SELECT 'X', 1L"))
+    return frames.differences(rows.drop("o_orderkey"), other)
+
+
 @query("SELECT true AS same, true AS changes_seen")
 def frame_hash(spark, sf_dir):
     rows = _table(spark, sf_dir, "orders")
@@ -657,6 +679,25 @@ def map_with_index(spark, sf_dir):
     return batches.map_with_index(spark.range(0, 10_000, 1, 4), counted, "part int, n long")
 
 
+@query(
+    "SELECT CAST(o_orderkey % 4 AS INTEGER) AS part, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders GROUP BY 1"
+)
+def map_rows_with_index(spark, sf_dir):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def summed(part, found):
+        n = total = 0
+        for batch in found:
+            n, total = n + batch.num_rows, total + (pc.sum(batch["o_custkey"]).as_py() or 0)
+        if n:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [n], "total": [total]})
+
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    dealt = rows.repartitionById(4, (F.col("o_orderkey") % 4).cast("int"))
+    return batches.map_with_index(dealt, summed, "part int, n long, total long")
+
+
 @query("SELECT o_orderkey + 1 AS next_key FROM orders")
 def map_batches(spark, sf_dir):
     import pyarrow as pa
