@@ -72,14 +72,9 @@ def adjacent_unique(df: DataFrame, column: str, *keys: str | Key) -> DataFrame:
 def first_per_key(df: DataFrame, by: list[str], *keys: str | Key) -> DataFrame:
     """Of the rows that agree in ``by``, the whole first one in the order by ``keys``.
 
-    Ascending or descending keys without null placement become a minimum, which is combined before the shuffle, so a
-    frequent key doesn't fill a task. Other orders use a ranked window.
+    Spark limits the ranked window to one row for each key in every task before the shuffle, so that a frequent key
+    doesn't fill a task.
     """
-    plain = [k if isinstance(k, Key) else Key(k) for k in keys]
-    if all(isinstance(k.column, str) and k.nulls_first is None and not k.descending for k in plain):
-        order = F.struct(*[k.column for k in plain])
-        first = df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), order).alias("row"))
-        return first.select("row.*")
     ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*orders(keys))))
     return ranked.filter("__rank = 1").drop("__rank")
 

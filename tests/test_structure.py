@@ -166,6 +166,8 @@ def test_first_per_key(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 3, "b"), (2, 9, "c"), (None, 1, "d")], "k int, o int, x string")
     assert sorted(values(dedup.first_per_key(df, ["k"], "o"), 2)) == ["b", "c", "d"]
     assert sorted(values(dedup.first_per_key(df, ["k"], Key("o", True)), 2)) == ["a", "c", "d"]
+    text = dedup.first_per_key(df, ["k"], "o")._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Final") < text.index("Exchange") < text.index("Partial")
 
 
 def test_frames(spark):
