@@ -40,7 +40,7 @@ SIGMAS = 5.0
 #: Defaults of the operator: words of a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 5, 80
 #: Rows, and bytes of sets and signatures, in a block of a heavy bucket.
-BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
+BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
 #: Bands at most, a power of two: a bucket's key has the band in as many bits.
 BANDS = 256
 #: Shingles hashed at a time, so that the products stay in the processor's cache.
