@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..storage import durable
-from .sorting import global_sort, partition_scan
+from .sorting import global_sort, local_positions, partition_scan
 
 #: Fixed values of the sampled range exchange: keys for each partition that is asked for, at most in all, and how many
 #: times its share an input partition gives.
@@ -94,17 +94,27 @@ def range_partition(df: DataFrame, partitions: int, *keys: str | Column) -> Data
     return df.repartitionByRange(partitions, *keys)
 
 
+def partition_slots(df: DataFrame, keys: Sequence[str], k: int, seed: int = 7) -> DataFrame:
+    """(part, key, weight): of each input partition its number and a sample of at most ``k`` keys, each a row.
+
+    The first ``k`` rows of a partition have a slot each, the others are dealt to these at random, and each slot keeps one
+    of its rows at random, which stands for as many as the slot had: the weights of a sample sum to the partition's rows,
+    and of a partition of at most ``k`` rows all are in it. Slots are combined within the tasks, so that at most ``k`` rows
+    of a partition are shuffled.
+    """
+    rows = local_positions(df.select(F.struct(*keys).alias("key")))
+    slot = F.when(F.col("pos") <= k, F.col("pos") - 1).otherwise(F.floor(F.rand(seed) * k)).alias("slot")
+    drawn = F.struct(F.rand(seed + 1).alias("r"), "key").alias("x")
+    slots = rows.select("part", slot, drawn).groupBy("part", "slot")
+    return slots.agg(F.count("*").alias("weight"), F.min("x")["key"].alias("key")).select("part", "key", "weight")
+
+
 def partition_sample(df: DataFrame, keys: Sequence[str], k: int, seed: int = 7) -> DataFrame:
     """(part, n, sample): of each input partition its number, its rows, and a sample of at most ``k`` (key, weight).
 
-    A partition's rows are dealt to ``k`` slots at random, and each slot keeps one of its rows, which stands for as many
-    as the slot had: the weights of a sample sum to n. Slots are combined within the tasks, so that at most ``k`` rows of
-    a partition are shuffled.
+    As ``partition_slots`` with a partition's sample in one row, which has to fit a task's memory.
     """
-    slot = F.floor(F.rand(seed) * k).alias("slot")
-    drawn = F.struct(F.rand(seed + 1).alias("r"), F.struct(*keys).alias("key")).alias("x")
-    slots = df.select(F.spark_partition_id().alias("part"), slot, drawn).groupBy("part", "slot")
-    slots = slots.agg(F.count("*").alias("weight"), F.min("x")["key"].alias("key"))
+    slots = partition_slots(df, keys, k, seed)
     return slots.groupBy("part").agg(F.sum("weight").alias("n"), F.collect_list(F.struct("key", "weight")).alias("sample"))
 
 

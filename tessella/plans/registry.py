@@ -383,11 +383,9 @@ def sampled_range_exchange(spark, sf_dir):
 def partition_samples(spark, sf_dir):
     """The weighted samples of the input partitions, of as many keys as these have, stand for all rows."""
     rows = _table(spark, sf_dir, "lineitem").select("l_orderkey").repartition(3)
-    found = partitioning.partition_sample(rows, ["l_orderkey"], 1 << 40)
-    each = found.select("part", "n", F.explode("sample").alias("x"))
-    sizes = found.agg(F.sum("n").alias("n_rows"))
-    total = each.agg(F.sum(F.col("x.key.l_orderkey") * F.col("x.weight")).alias("total"))
-    return sizes.crossJoin(total)
+    found = partitioning.partition_slots(rows, ["l_orderkey"], 1 << 40)
+    total = F.sum(F.col("key.l_orderkey") * F.col("weight")).alias("total")
+    return found.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n_rows"), total)
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from oracle import assert_same
 
@@ -43,6 +44,12 @@ def test_samples(spark, sf_dir):
         assert cut == whole[at : at + len(cut)]
 
 
+def test_partition_samples_of_no_rows(spark, sf_dir, tmp_path):
+    pq.write_table(pq.read_table(f"{sf_dir}/lineitem.parquet").slice(0, 0), tmp_path / "lineitem.parquet")
+    found = registry.queries()["partition_samples"](spark, str(tmp_path))
+    assert_same(found, registry.oracle_sql()["partition_samples"], str(tmp_path))
+
+
 def test_entry_without_what_the_subpackage_needs(monkeypatch):
     """A module that can't be imported takes no other query with it."""
     import sys

@@ -71,6 +71,17 @@ def test_uneven_partitions_are_sampled_again(spark):
     assert all(0 < len(r["sample"]) <= 10 for r in sample)
 
 
+def test_small_partitions_are_sampled_whole(spark):
+    """No two of at most k rows meet in a slot; of more, k are sampled, also such as come after the first k."""
+    df = spark.range(0, 2000, 1, 2)
+    whole = partitioning.partition_sample(df, ["id"], 1000).collect()
+    assert sorted((x["key"]["id"], x["weight"]) for r in whole for x in r["sample"]) == [(i, 1) for i in range(2000)]
+    few = partitioning.partition_sample(df, ["id"], 100).collect()
+    assert [(r["n"], len(r["sample"]), sum(x["weight"] for x in r["sample"])) for r in few] == [(1000, 100, 1000)] * 2
+    assert all(50 < sum(x["key"]["id"] % 1000 >= 100 for x in r["sample"]) <= 100 for r in few)
+    assert partitioning.partition_slots(df.filter("id < 0"), ["id"], 10).collect() == []
+
+
 def test_bucket_by_several_keys(spark):
     rng = random.Random(2)
     bounds = sorted({(rng.choice("abc"), rng.randrange(20)) for _ in range(23)})
